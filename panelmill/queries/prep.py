@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators.asof import known_at
+from panelmill.operators.impute import Numeric, impute
 from panelmill.operators.regular import regular_grid
+from panelmill.operators.spikes import Field, spikes
 from panelmill.operators.trailing import trailing_totals
 from panelmill.session import attach, table
 
@@ -76,7 +78,60 @@ def p7_totals(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_daily_close, p3_interpolated, p4_found, p4_excess_with_cap, p7_found, p7_totals)}
+# The sectors of the panel.
+SECTORS = ["settlement", "lending", "gaming", "storage", "oracle", "meme", "privacy", "bridge"]
+
+
+def _completed(spark: SparkSession, path: str) -> DataFrame:
+    return impute(
+        table(spark, path, "panel_clean"), "row_id", "entity", "date",
+        {"volume": Numeric(log=True)}, {"sector": SECTORS}, {"marketcap": Numeric(log=True), "close": Numeric(log=True)},
+    )
+
+
+def p5_found(spark: SparkSession, path: str) -> DataFrame:
+    """The rows and fields that were filled; each must have got a usable value."""
+    rows = _completed(spark, path)
+    usable = (F.col("volume_filled") > 0) & (F.col("volume_filled") < float("inf"))
+    fields = F.array_compact(
+        F.array(F.when(F.col("volume_was_missing") & usable, "volume"), F.when(F.col("sector_was_missing") & F.col("sector_filled").isNotNull(), "sector"))
+    )
+    return rows.select("row_id", F.explode(fields).alias("field"))
+
+
+def p5_completed(spark: SparkSession, path: str) -> DataFrame:
+    return _completed(spark, path).select("row_id", "entity", "date", "volume_filled", "volume_was_missing", "sector_filled", "sector_was_missing")
+
+
+#: What is possible for the measurements of the panels.
+FIELDS = {
+    "marketcap": Field(least=0.0, least_possible=False, log=True, local=True),
+    "volume": Field(least=0.0, least_possible=False, log=True, local=True),
+    "ret": Field(least=-1.0, least_possible=True, log=False, local=False),
+}
+
+
+def _spikes(spark: SparkSession, path: str) -> DataFrame:
+    raw = table(spark, path, "panel_raw").select("row_id", "entity", F.col("snapped_at").alias("at"), F.explode(F.array(
+        F.struct(F.lit("marketcap").alias("field"), F.col("marketcap").alias("value")),
+        F.struct(F.lit("volume").alias("field"), F.col("volume").alias("value")),
+    )).alias("r")).select("r.field", "entity", "at", "r.value", "row_id")
+    clean = table(spark, path, "panel_clean").select(
+        F.lit("ret").alias("field"), "entity", F.col("date").cast("timestamp").alias("at"), F.col("ret").alias("value"), "row_id"
+    )
+    return spikes(raw.unionByName(clean), "field", "entity", "at", "value", "row_id", FIELDS)
+
+
+def p6_found(spark: SparkSession, path: str) -> DataFrame:
+    return _spikes(spark, path).select("field", "row_id")
+
+
+def p6_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """Implausible rows by measurement and kind."""
+    return _spikes(spark, path).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_daily_close, p3_interpolated, p4_found, p4_excess_with_cap, p5_found, p5_completed, p6_found, p6_kinds, p7_found, p7_totals)}
 
 _GRID3 = """u as (select entity, date, arg_max(close, {'a': read_at, 'b': row_id}) as close from panel_clean
   where close > 0 and isfinite(close) group by 1, 2),
@@ -99,8 +154,28 @@ k as (select o.obs_id, arg_max({'id': c.row_id, 'cap': c.marketcap}, {'a': c.dat
   from estimation_panel o join e on e.entity_id = o.entity join characteristics c
     on c.entity = e.name and c.date < o.date and c.known_at <= o.as_of and c.marketcap is not null and not isnan(c.marketcap)
   group by 1)"""
+_SPIKES6 = """l as (select row_id, entity, snapped_at as t, unnest(['marketcap', 'volume']) as field, unnest([marketcap, volume]) as v from panel_raw
+  union all select row_id, entity, date::timestamptz, 'ret', ret from panel_clean),
+m as (select *, not isfinite(v) or (field <> 'ret' and v <= 0) or (field = 'ret' and v < -1) as bad from l where v is not null),
+x as (select field, entity, t, max(case when field = 'ret' then v else ln(v) end) as x, max(v) as v from m where not bad group by 1, 2, 3),
+o as (select *, median(x) over (partition by field, entity order by t rows between 15 preceding and 15 following) as near,
+  lag(v) over (partition by field, entity order by t) as p, row_number() over (partition by field, entity order by t) as n from x),
+a as (select field, entity, median(x) as level from x group by 1, 2),
+d as (select o.*, abs(x - case when field = 'ret' then level else near end) as d,
+  sum(case when p = v then 0 else 1 end) over (partition by field, entity order by t rows unbounded preceding) as run from o join a using (field, entity)),
+s as (select field, entity, median(d) as scale from d group by 1, 2),
+r as (select field, entity, run, count(*) as len from d group by 1, 2, 3),
+c as (select d.field, d.entity, d.t, case when p = v and len >= 5 then 'stuck' when d > 8 * scale then 'spike' end as kind
+  from d join s using (field, entity) join r using (field, entity, run)),
+f as (select field, row_id, 'impossible' as kind from m where bad union all
+  select m.field, m.row_id, c.kind from m join c on c.field = m.field and c.entity = m.entity and c.t = m.t where not bad and kind is not null)"""
 
 ORACLES = {
+    "p5_found": """select row_id, 'volume' as field from panel_clean where volume is null or not (isfinite(volume) and volume > 0)
+union all select row_id, 'sector' from panel_clean where sector is null or sector not in
+  ('settlement', 'lending', 'gaming', 'storage', 'oracle', 'meme', 'privacy', 'bridge')""",
+    "p6_found": f"with {_SPIKES6} select field, row_id from f",
+    "p6_kinds": f"with {_SPIKES6} select field, kind, count(*) as n from f group by 1, 2",
     "p3_found": f"with {_GRID3} select entity, strftime(date, '%Y%m%d')::bigint as date_key from g where not observed",
     "p3_daily_close": f"""with {_GRID3} select entity, strftime(date, '%Y%m%d')::bigint as date_key,
   format('{{:.9e}}', last_value(close ignore nulls) over w) as close,
