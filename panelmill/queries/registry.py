@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.queries import prep
+from panelmill.queries import panel, prep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (prep,)
+MODULES = (prep, panel)
 
 
 def core() -> tuple[dict[str, Query], dict[str, str]]:
