@@ -74,9 +74,9 @@ def _carry_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         start_with = attrs.slice(0, 0)
         key0 = entity[0].as_py()
         if state is not None and state[0] == key0:
-            start_with = pa.array([state[1]], type=attrs.type)
+            start_with = pa.array([state[1].as_py()], type=attrs.type)
         elif first and carry[0].is_valid:
-            start_with = carry.slice(0, 1).cast(attrs.type)
+            start_with = pa.array([carry[0].as_py()], type=attrs.type)
         first = False
         extra = len(start_with)
         pool = pa.concat_arrays([start_with, attrs]) if extra else attrs
