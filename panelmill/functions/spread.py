@@ -27,15 +27,21 @@ def edge_frame(df: DataFrame, n: int) -> DataFrame:
     full = (c("_o") + c("_h") + c("_l") + c("_c") + c("_h1") + c("_l1") + c("_c1")).isNotNull()
     df = df.withColumn("_x", F.when(full, terms)).withColumn("_rows", complete(n, F.collect_list("_x").over(frame(n - 2))))
 
+    def field(k: str):
+        return lambda v: v[k]
+
     def mean(f, rows: str = "_rows") -> Column:
         return F.try_divide(F.aggregate(F.transform(rows, f), F.lit(0.0), lambda a, v: a + v), F.size(rows))
 
+    def square_of(k: str, centre: str):
+        return lambda v: (v[k] - c(centre)) * (v[k] - c(centre))
+
     df = df.withColumn(
         "_m",
         F.struct(
-            *[mean(lambda v, k=k: v[k]).alias(k) for k in ("r1", "r3", "r5", "t")],
-            (mean(lambda v: v["oh"]) + mean(lambda v: v["ol"])).alias("po"), (mean(lambda v: v["ch"]) + mean(lambda v: v["cl"])).alias("pc"),
-            F.aggregate(F.transform("_rows", lambda v: v["t"]), F.lit(0.0), lambda a, v: a + v).alias("n"),
+            *[mean(field(k)).alias(k) for k in ("r1", "r3", "r5", "t")],
+            (mean(field("oh")) + mean(field("ol"))).alias("po"), (mean(field("ch")) + mean(field("cl"))).alias("pc"),
+            F.aggregate(F.transform("_rows", field("t")), F.lit(0.0), lambda a, v: a + v).alias("n"),
         ),
     )
     m = lambda k: c(f"_m.{k}")
@@ -45,10 +51,8 @@ def edge_frame(df: DataFrame, n: int) -> DataFrame:
         return F.try_divide(F.lit(-4.0), m("po")) * lean(v, "r1") * v["r5" if late == "r5" else "r2"] + F.try_divide(F.lit(-4.0), m("pc")) * lean(v, other) * v["r4"]
 
     df = df.withColumn("_xs", F.transform("_rows", lambda v: F.struct(pair(v, "r2", "r3").alias("a"), pair(v, "r5", "r5").alias("b"))))
-    df = df.withColumns({"_e1": mean(lambda v: v["a"], "_xs"), "_e2": mean(lambda v: v["b"], "_xs")})
-    df = df.withColumns(
-        {f"_v{i}": mean(lambda v, k=k, i=i: (v[k] - c(f"_e{i}")) * (v[k] - c(f"_e{i}")), "_xs") for i, k in ((1, "a"), (2, "b"))}
-    )
+    df = df.withColumns({"_e1": mean(field("a"), "_xs"), "_e2": mean(field("b"), "_xs")})
+    df = df.withColumns({"_v1": mean(square_of("a", "_e1"), "_xs"), "_v2": mean(square_of("b", "_e2"), "_xs")})
     both = c("_v1") + c("_v2")
     square = F.when(both > 0, F.try_divide(c("_v2") * c("_e1") + c("_v1") * c("_e2"), both)).otherwise((c("_e1") + c("_e2")) / 2)
     ok = (m("n") >= 2) & (m("po") > 0) & (m("pc") > 0)
