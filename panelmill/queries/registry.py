@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.queries import characteristics, cross_section, model, panel, prep
+from panelmill.queries import characteristics, connect, cross_section, model, panel, prep
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (prep, panel, characteristics, cross_section, model)
+MODULES = (prep, panel, characteristics, cross_section, model, connect)
 
 
 def core() -> tuple[dict[str, Query], dict[str, str]]:
