@@ -24,11 +24,11 @@ def water_fill(weights: Sequence[float], caps: Sequence[float], total: float) ->
     free = [i for i, w in enumerate(weights) if w > 0]
     left = float(total)
     while free and left > 0:
-        unit = left / sum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * unit >= caps[i]]
+        whole = sum(weights[i] for i in free)
+        over = [i for i in free if left * (weights[i] / whole) >= caps[i]]
         if not over:
             for i in free:
-                amounts[i] = weights[i] * unit
+                amounts[i] = left * (weights[i] / whole)
             break
         for i in over:
             amounts[i] = float(caps[i])
@@ -37,10 +37,12 @@ def water_fill(weights: Sequence[float], caps: Sequence[float], total: float) ->
     return amounts
 
 
-def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame, total: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame, total: int | None = None, seed: int = 0, keep_weights: bool = False) -> tuple[DataFrame, DataFrame]:
     """A selection with target shares: (selection, report).
 
     ``targets`` has (source, weight, max_repeats). ``total`` is the size of the mix, by default that of all rows of ``df``.
+    ``keep_weights``: rather than redistribute what a source cannot give, make the mix as small as it has to be for every
+    source to reach its weight; a source with a weight and no rows then leaves an empty mix. ``short`` still refers to ``total``.
     selection: (key, source, size, copies), one row per item used, ``copies`` at most the source's ``max_repeats``.
     report: (source, weight, max_repeats, available, wanted, target, reached, share, short), one row per source; ``wanted`` is
     weight x total, ``target`` the amount after water filling, ``reached`` and ``share`` what the selection has, ``short`` whether
@@ -74,7 +76,8 @@ def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame,
     weights = [r["weight"] / scale for r in given]
     have = [known.get(r[0]) or 0 for r in given]
     caps = [n * r["max_repeats"] for n, r in zip(have, given)]
-    amounts = water_fill(weights, caps, total)
+    feasible = min([c / w for c, w in zip(caps, weights) if w > 0], default=0.0) if keep_weights else total
+    amounts = water_fill(weights, caps, min(total, feasible))
     plan = []
     for r, w, n, cap, amount in zip(given, weights, have, caps, amounts):
         copies = int(min(amount // n, r["max_repeats"])) if n else 0

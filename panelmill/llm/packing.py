@@ -72,14 +72,23 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], lengths: Sequence[int], over
 
 
 def best_fit(sizes: Sequence[int], lengths: Sequence[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
-    """Container, its final capacity and the offset in it for each of the sizes, which must be in descending order."""
+    """Container, its final capacity and the offset in it for each of the sizes, which must be in descending order.
+
+    Packed once with all lengths to open and once with the largest alone; the cheaper is taken, the first of equals.
+    """
+    tries = [_fill(sizes, opened, lengths, overhead) for opened in (lengths, lengths[-1:])]
+    return min(tries, key=lambda t: t[0])[1]
+
+
+def _fill(sizes: Sequence[int], opened: Sequence[int], lengths: Sequence[int], overhead: int) -> tuple[int, tuple[list[int], list[int], list[int]]]:
+    """Cost and packing when containers are opened at the lengths ``opened`` and end at any of ``lengths``."""
     left = sum(sizes)
     rooms: dict[int, list[int]] = {}  # by room left: open containers
     some = 0  # bit r is set where rooms[r] isn't empty
     used: list[int] = []
     box: list[int] = []
     offset: list[int] = []
-    for n in sizes:
+    for k, n in enumerate(sizes):
         fits = some >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -87,8 +96,7 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], overhead: int) -> tup
             if not rooms[room]:
                 some &= ~(1 << room)
         else:
-            length = min((x for x in lengths if x >= n), key=lambda x: ((x + overhead) / max(1, min(x, left)), x))
-            b, room = len(used), length
+            b, room = len(used), _least_cost(sizes, k, left, opened, overhead)
             used.append(0)
         box.append(b)
         offset.append(used[b])
@@ -98,4 +106,25 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], overhead: int) -> tup
         rooms.setdefault(room, []).append(b)
         some |= 1 << room
     final = [next(x for x in lengths if x >= u) for u in used]
-    return box, [final[b] for b in box], offset
+    return sum(final) + overhead * len(final), (box, [final[b] for b in box], offset)
+
+
+def _least_cost(sizes: Sequence[int], k: int, left: int, lengths: Sequence[int], overhead: int) -> int:
+    """The length of a new container for item k that costs least per token put in.
+
+    While there is plenty left any length gets filled. Near the end each length is tried with what is left.
+    """
+    options = [x for x in lengths if x >= sizes[k]]
+    if left > 2 * lengths[-1]:
+        return min(options, key=lambda x: (x + overhead) / x)
+    costs = []
+    for x in options:
+        filled = 0
+        for n in sizes[k:]:
+            if not n or filled == x:
+                break
+            if filled + n <= x:
+                filled += n
+        final = next(y for y in lengths if y >= filled)
+        costs.append(((final + overhead) / max(1, filled), x))
+    return min(costs)[1]

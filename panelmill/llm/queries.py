@@ -87,6 +87,11 @@ def p9_shares(spark: SparkSession, path: str) -> DataFrame:
     return mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"))[1]
 
 
+def p9_exact_shares(spark: SparkSession, path: str) -> DataFrame:
+    """The shares of the largest mix in which every source has its weight."""
+    return mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"), keep_weights=True)[1]
+
+
 def p9_selection(spark: SparkSession, path: str) -> DataFrame:
     return mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"))[0]
 
@@ -106,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_percentiles, p1_combined, p2_found, p2_top_ten, p8_found, p8_containers, p8_fill,
-        p9_found, p9_shares, p9_selection, p10_found, p10_classes,
+        p9_found, p9_shares, p9_exact_shares, p9_selection, p10_found, p10_classes,
     )
 }
 
