@@ -43,21 +43,40 @@ def volume(df: DataFrame) -> DataFrame:
     )
 
 
+def _products(df: DataFrame, names: tuple[str, ...], w) -> tuple[DataFrame, Column, dict]:
+    """Add windowed sums of columns _<name> and of their products; plain sums are the cheapest frames there are.
+
+    Returns the frame, the count and, by pair of names, the centred sums of products. The columns must be null together.
+    """
+    pairs = [(i, j) for k, i in enumerate(names) for j in names[k:]]
+    sums = {"_n": F.count(f"_{names[0]}").over(w)} | {f"_s{k}": F.sum(f"_{k}").over(w) for k in names}
+    df = df.withColumns(sums | {f"_s{i}{j}": F.sum(c(f"_{i}") * c(f"_{j}")).over(w) for i, j in pairs})
+    centred = {f"_v{i}{j}": c(f"_s{i}{j}") - F.try_divide(c(f"_s{i}") * c(f"_s{j}"), c("_n")) for i, j in pairs}
+    return df.withColumns(centred), c("_n"), {(i, j): c(f"_v{i}{j}") for i, j in pairs}
+
+
+def _without_products(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    pairs = [f"_{what}{i}{j}" for what in "sv" for k, i in enumerate(names) for j in names[k:]]
+    return df.drop("_n", *[f"_{k}" for k in names], *[f"_s{k}" for k in names], *pairs)
+
+
 def capm(df: DataFrame, n: int = 30) -> DataFrame:
     """alpha, beta, ivol and beta2 of ret_excess on cmkt over n rows, from complete pairs."""
-    w = frame(n - 1)
-    y, x = c("ret_excess"), c("cmkt")
-    pairs = F.regr_count(y, x).over(w)
-    spread = F.regr_sxx(y, x).over(w)
-    ok = (pairs > 2) & (spread > 1e-18)
-    left = F.regr_syy(y, x).over(w) - F.try_divide(F.pow(F.regr_sxy(y, x).over(w), F.lit(2.0)), spread)
-    return df.withColumns(
+    names = ("y", "x")
+    both = c("ret_excess").isNotNull() & c("cmkt").isNotNull()
+    df = df.withColumns({"_y": F.when(both, c("ret_excess")), "_x": F.when(both, c("cmkt"))})
+    df, pairs, v = _products(df, names, frame(n - 1))
+    ok = (pairs > 2) & (v["x", "x"] > 1e-18)
+    slope = F.try_divide(v["y", "x"], v["x", "x"])
+    left = v["y", "y"] - slope * v["y", "x"]
+    df = df.withColumns(
         {
-            "alpha": complete(n, F.when(ok, F.regr_intercept(y, x).over(w))),
-            "beta": complete(n, F.when(ok, F.regr_slope(y, x).over(w))),
+            "alpha": complete(n, F.when(ok, F.try_divide(c("_sy") - slope * c("_sx"), pairs))),
+            "beta": complete(n, F.when(ok, slope)),
             "ivol": complete(n, F.when(ok, F.sqrt(F.greatest(left, F.lit(0.0)) / (pairs - 1)))),
         }
-    ).withColumn("beta2", F.pow("beta", F.lit(2.0)))
+    )
+    return _without_products(df, names).withColumn("beta2", F.pow("beta", F.lit(2.0)))
 
 
 def yang_zhang(n: int) -> Column:
@@ -74,21 +93,27 @@ def yang_zhang(n: int) -> Column:
 
 def risk(df: DataFrame) -> DataFrame:
     """rvol_7d, rvol_30d, retvol, stdprcvol, var and es_5."""
-    w = frame(89)
-    tail = F.percentile("ret", F.lit(0.05)).over(w)
     df = df.withColumns(
         {
             "rvol_7d": yang_zhang(7),
             "rvol_30d": yang_zhang(30),
             "retvol": strict(c("ret"), F.stddev_samp, 7),
             "stdprcvol": log(strict(c("close") * c("volume"), F.stddev_samp, 7)),
-            "var": complete(90, tail),
-            "_tail": complete(90, F.collect_list("ret").over(w)),
+            "_seen": complete(90, F.sort_array(F.collect_list("ret").over(frame(89)))),
         }
     )
-    low = F.filter("_tail", lambda v: v <= c("var"))
+    df = df.withColumn("var", sorted_quantile("_seen", 0.05))
+    low = F.filter("_seen", lambda v: v <= c("var"))
     total = F.aggregate(low, F.lit(0.0), lambda a, v: a + v)
-    return df.withColumn("es_5", F.try_divide(total, F.size(low))).drop("_tail")
+    return df.withColumn("es_5", F.try_divide(total, F.size(low))).drop("_seen")
+
+
+def sorted_quantile(values: str, p: float) -> Column:
+    """Linear quantile of a sorted array, null for an empty one."""
+    at = (F.size(values) - 1) * F.lit(p)
+    k = F.floor(at).cast("int")
+    lo, hi = F.get(values, k), F.get(values, F.ceil(at).cast("int"))
+    return F.when(F.size(values) > 0, lo + (hi - lo) * (at - k))
 
 
 def delay(df: DataFrame, n: int = 30) -> DataFrame:
@@ -97,10 +122,7 @@ def delay(df: DataFrame, n: int = 30) -> DataFrame:
     full = c("ret_excess").isNotNull() & c("cmkt").isNotNull() & x1.isNotNull() & x2.isNotNull()
     names = ("y", "a", "b", "d")
     df = df.withColumns({f"_{k}": F.when(full, v) for k, v in zip(names, (c("ret_excess"), c("cmkt"), x1, x2))})
-    w = frame(n - 3)
-    pairs = [(i, j) for k, i in enumerate(names) for j in names[k:]]
-    df = df.withColumns({f"_{i}{j}": F.covar_pop(f"_{i}", f"_{j}").over(w) for i, j in pairs} | {"_n": F.count("_y").over(w)})
-    v = {p: c(f"_{p[0]}{p[1]}") for p in pairs}
+    df, count, v = _products(df, names, frame(n - 3))
     aa, bb, dd, ab, ad, bd = (v[p] for p in (("a", "a"), ("b", "b"), ("d", "d"), ("a", "b"), ("a", "d"), ("b", "d")))
     ya, yb, yd, yy = (v[p] for p in (("y", "a"), ("y", "b"), ("y", "d"), ("y", "y")))
     # Inverse of the symmetric 3 x 3 matrix by its adjugate.
@@ -108,10 +130,9 @@ def delay(df: DataFrame, n: int = 30) -> DataFrame:
     m22, m23, m33 = aa * dd - ad * ad, ab * ad - aa * bd, aa * bb - ab * ab
     det = aa * m11 + ab * m12 + ad * m13
     quad = ya * ya * m11 + yb * yb * m22 + yd * yd * m33 + 2 * (ya * yb * m12 + ya * yd * m13 + yb * yd * m23)
-    ok = (c("_n") > 4) & (yy > 1e-18) & (aa > 1e-18) & (det > 1e-9 * aa * bb * dd)
+    ok = (count > 4) & (yy > 1e-16) & (aa > 1e-16) & (det > 1e-9 * aa * bb * dd)
     value = F.try_divide(F.try_divide(quad, det) - F.try_divide(ya * ya, aa), yy)
-    out = df.withColumn("delay", complete(n, F.when(ok, value)))
-    return out.drop("_n", *[f"_{k}" for k in names], *[f"_{i}{j}" for i, j in pairs])
+    return _without_products(df.withColumn("delay", complete(n, F.when(ok, value))), names)
 
 
 def liquidity(df: DataFrame) -> DataFrame:
@@ -136,8 +157,8 @@ def detrended_turnover(df: DataFrame, n: int = 90) -> DataFrame:
     """dto: turnover over the market's, less its rolling median. Needs turn."""
     market = value_weighted(df, ["date"], "turn", name="_market_turn")
     df = attach(df, market, ["date"]).withColumn("_over", c("turn") - c("_market_turn"))
-    middle = F.percentile("_over", F.lit(0.5)).over(frame(n - 1))
-    return df.withColumn("dto", complete(n, c("_over") - middle)).drop("_market_turn", "_over")
+    df = df.withColumn("_seen", complete(n, F.sort_array(F.collect_list("_over").over(frame(n - 1)))))
+    return df.withColumn("dto", c("_over") - sorted_quantile("_seen", 0.5)).drop("_market_turn", "_over", "_seen")
 
 
 def distribution(df: DataFrame, raw_kurtosis: bool = False) -> DataFrame:
