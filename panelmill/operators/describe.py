@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.order_stats import IN_SHARD, quantiles
 from panelmill.operators.shards import PART, sorted_shards
 
 
@@ -41,24 +42,26 @@ def largest(df: DataFrame, k: int) -> DataFrame:
 
 def summary(df: DataFrame, col: str, tops: Sequence[int], names: Sequence[str]) -> DataFrame:
     """One row of statistics of ``col`` (nulls left out) for all, for the largest entities of the last date and for some by name."""
-    rows = df.filter(F.col(col).isNotNull())
+    rows = df.filter(F.col(col).isNotNull()).select("entity", "date", col)
+    parts = [rows.withColumn("sample", F.lit("all"))]
+    parts += [rows.join(F.broadcast(largest(df, k).select("entity")), "entity", "left_semi").withColumn("sample", F.lit(f"top {k}")) for k in tops]
+    parts.append(rows.filter(F.col("entity").isin(list(names))).withColumn("sample", F.col("entity")))
+    every = reduce(DataFrame.unionByName, parts)
+    out = every.groupBy("sample").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd")
+    )
     points = (10, 25, 50, 75, 90)
+    wide = _wide(quantiles(every, ["sample"], col, [p / 100 for p in points]), "sample", {p / 100: f"p{p}" for p in points})
+    return out.join(wide, "sample", "left")
 
-    def row(part: DataFrame, label: Column) -> DataFrame:
-        return part.groupBy(label.alias("sample")).agg(
-            F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("entities"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"),
-            *[F.percentile(col, p / 100).alias(f"p{p}") for p in points],
-        )
 
-    parts = [row(rows, F.lit("all"))]
-    parts += [row(rows.join(F.broadcast(largest(df, k).select("entity")), "entity", "left_semi"), F.lit(f"top {k}")) for k in tops]
-    parts.append(row(rows.filter(F.col("entity").isin(list(names))), F.col("entity")))
-    return reduce(DataFrame.unionByName, parts)
+def _wide(rows: DataFrame, key: str, names: dict[float, str]) -> DataFrame:
+    return rows.groupBy(key).agg(*[F.max(F.when(F.abs(F.col("p") - p) < 1e-9, F.col("value"))).alias(n) for p, n in names.items()])
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """All rows numbered from 1 in the given order, by sorted shards and the counts of the shards before."""
-    shards = sorted_shards(df, list(order), lambda d: d.withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    shards = sorted_shards(df, list(order), lambda d: d.withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit(IN_SHARD))))
     counts = shards.groupBy(PART).agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per shard
     offsets = counts.select(F.col(PART).alias("_p"), before.alias("_o"))
@@ -67,9 +70,10 @@ def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
 
 def column_summary(df: DataFrame, col: str) -> DataFrame:
-    """n, missing, min, quartiles, mean and max of a column."""
-    q = lambda p, name: F.percentile(col, p).alias(name)
-    return df.agg(
-        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(col)).alias("missing"), F.min(col).alias("min"),
-        q(0.25, "q1"), q(0.5, "median"), q(0.75, "q3"), F.avg(col).alias("mean"), F.max(col).alias("max"),
-    )
+    """n, missing, min, quartiles, mean and max of a column; one row, also for an empty table."""
+    sums = df.agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(col)).alias("missing"), F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max")
+    )
+    rows = quantiles(df.withColumn("_all", F.lit(1)), ["_all"], col, [0.25, 0.5, 0.75])
+    wide = _wide(rows, "_all", {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    return sums.withColumn("_all", F.lit(1)).join(F.broadcast(wide), "_all", "left").drop("_all")
