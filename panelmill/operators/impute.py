@@ -70,6 +70,14 @@ def impute(
     of an output column are replaced. Equal keys get equal draws. An empty table gives an empty result.
     """
     df = df.drop(*[f"{c}{end}" for c in (*numeric, *classes) for end in ("_filled", "_was_missing")])
+    # Working columns begin with "_"; input columns that do so too get out of their way until the end.
+    aside = {c: f"input{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+    if aside:
+        new = lambda names: {aside.get(c, c): v for c, v in names.items()}
+        moved = [aside.get(c, c) for c in (key, entity, time)]
+        out = impute(df.withColumnsRenamed(aside), *moved, new(numeric), new(classes), new(predictors), iterations, seed)
+        ends = ("", "_filled", "_was_missing")
+        return out.withColumnsRenamed({f"{v}{end}": f"{c}{end}" for c, v in aside.items() for end in ends})
     classes = {c: list(v) if v is not None else _values(df, c) for c, v in classes.items()}
     numbers = list(numeric)
     base = df.withColumns(

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +36,11 @@ def load_panel(df: DataFrame, ret: str = "ret_excess", ignore: Sequence[str] = (
     """The estimation panel: dense entity ids, one row per (date, entity), unneeded columns dropped, all characteristics one row
     later, rows with a missing value dropped. ``cache``: a folder that is read if it is there and written if not."""
     spark = spark or df.sparkSession
-    if cache and Path(cache).exists():
-        return spark.read.parquet(cache)
+    if cache:
+        try:
+            return spark.read.parquet(cache)
+        except AnalysisException:
+            pass  # not there yet
     df = clean.keep_first(df, ["date", "entity"], [c for c in df.columns if c not in ("date", "entity")]).drop(*UNNEEDED, *ignore)
     chars = [c for c in df.columns if c not in ("date", "entity", ret)]
     lagged = lag_all(df, chars, {"ret": "r2_1"})

@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelmill.operators.cross_section import order_by_list, significance, wide_by
 from panelmill.plans import ipca
 from panelmill.plans.moments import collect_moments, moment_rows
 from panelmill.queries.base import num, qnum
 from panelmill.queries.cross_section import CHARS, factor_frame
+from panelmill.sources import files
 from panelmill.sources.panel import estimation_panel
 
 QUERIES, ORACLES = {}, {}
@@ -180,6 +182,19 @@ def wald_beta(spark: SparkSession, path: str) -> DataFrame:
     return ipca.wald_beta(spark, model.moments, fit, FEW, np.zeros((len(fit.dates), 0)), draws=20)
 
 
+@query()
+def pvalue_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """p-values written to one CSV folder per number of factors, read back with that number from the name, side by side with scores."""
+    model, at = _model(spark, path), files.scratch(spark)
+    for k in (1, 2):
+        fit = model.fit(K=k, minTol=1e-6, maxIters=500)
+        got = ipca.wald_beta(spark, model.moments, fit, FEW, np.zeros((len(fit.dates), 0)), draws=10, max_iters=500)
+        files.write_csv(got.select("characteristic", F.col("pval").alias("pval_beta")), f"{at}/{k}_factors_pvals")
+    rows = files.keyed_csv(spark, f"{at}/*_factors_pvals", "characteristic string, pval_beta double")
+    wide = order_by_list(wide_by(rows, "characteristic", "k", [1, 2], "pval_beta", "k"), "characteristic", FEW)
+    return wide.select("place", "characteristic", "k1", "k2", significance(F.col("k1")).alias("score_k1"), significance(F.col("k2")).alias("score_k2"))
+
+
 @query()
 def wald_alpha(spark: SparkSession, path: str) -> DataFrame:
     """Is there an intercept beside one latent factor?"""

@@ -148,13 +148,13 @@ READ = "field string, entity string, t timestamp, value double, id long, _f stri
 def brute_spikes(rows):
     out = set()
     for f, e in {(r[0], r[1]) for r in rows}:
-        own = [r for r in rows if r[0] == f and r[1] == e and r[3] is not None and r[2] is not None]
+        own = [r for r in rows if r[0] == f and r[1] == e and r[3] is not None]
         rule = FIELDS[f]
         bad = [r for r in own if not math.isfinite(r[3]) or (r[3] < rule.least if rule.least_possible else r[3] <= rule.least)]
         out |= {(f, r[4]) for r in bad}
         good = {}
         for r in own:
-            if r not in bad:
+            if r not in bad and r[2] is not None:
                 good[r[2]] = max(good.get(r[2], -math.inf), r[3])
         if not good:
             continue
@@ -200,7 +200,7 @@ def test_spikes_against_brute_force(spark):
                 if k % 50 == 7:
                     rows.append((f, e, at(k), x, i, "q"))
                     i += 1
-    rows += [("cap", "b", None, 1e9, i, "q"), ("other", "b", at(0), -5.0, i + 1, "q")]
+    rows += [("cap", "b", None, 1e9, i, "q"), ("cap", "b", None, -1.0, i + 2, "q"), ("other", "b", at(0), -5.0, i + 1, "q")]
     got = spikes(spark.createDataFrame(rows, READ), "field", "entity", "t", "value", "id", FIELDS).collect()
     want = brute_spikes([r for r in rows if r[0] in FIELDS])
     assert {(r.field, r.id) for r in got} == want and len(got) == len(want)
@@ -221,7 +221,7 @@ def test_chart_parts():
     assert chart([]) == [] and chart([1.0, 1.0]) == [False, False]
 
 
-TABLE = "id long, entity string, date date, volume double, sector string, cap double, volume_filled string, _k string"
+TABLE = "id long, entity string, date date, volume double, sector string, cap double, volume_filled string, _y_volume string"
 
 
 def test_impute_accuracy_and_masks(spark):
@@ -239,7 +239,7 @@ def test_impute_accuracy_and_masks(spark):
     df = spark.createDataFrame(rows, TABLE)
     args = ("id", "entity", "date", {"volume": Numeric(True)}, {"sector": ["x", "y", "z"]}, {"cap": Numeric(True)})
     got = impute(df, *args).collect()
-    assert len(got) == 3000 and got[0]["_k"] == "k"
+    assert len(got) == 3000 and got[0]["_y_volume"] == "k"
     missing_v = [r for r in got if r.volume_was_missing]
     missing_k = [r for r in got if r.sector_was_missing]
     assert {r.id for r in missing_v} == {r[0] for r in rows if r[3] is None or not (math.isfinite(r[3]) and r[3] > 0)}
