@@ -50,8 +50,8 @@ def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame,
 
     Method: capped water filling over the sources' sizes, then per source ``floor(target / available)`` copies of every item
     and one more of a seeded sample. The sample is the items whose hash lies below a threshold; the threshold comes from two
-    histograms of sizes over hashes, made with map-side combine, so a source of any size is met to within an item or a
-    2^-24th of it without sorting or collecting it. The same seed gives the same selection on any cluster.
+    histograms of sizes over hashes, made with map-side combine, so a source of any size is met without sorting or
+    collecting it. A second draw among small items fills up what the first leaves before an item that is too large. The same seed gives the same selection on any cluster.
 
     Rows whose source is null or not in ``targets`` aren't selected but count in the default total. Weights that are null or
     below 0 count as 0 and max_repeats that are null as 0; weights are scaled to a sum of 1. Several rows of a source in
@@ -87,15 +87,11 @@ def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame,
     kind = f"{source} {goals.schema[source].dataType.simpleString()}, {named}"
     plan = df.sparkSession.createDataFrame(plan, kind)
 
-    rated = items.join(F.broadcast(plan.select(source, "_copies", "_extra")), source)
-    upper, lower = F.floor(F.col("_h") / LEVEL).cast("int"), F.pmod("_h", F.lit(LEVEL))
-    high = _threshold(rated, source, upper, F.col("_extra"))
-    rated = rated.drop("_extra").join(F.broadcast(high), source)
-    low = _threshold(rated.filter(upper == F.col("_cut")), source, lower, F.col("_rest"))
-    low = low.select(source, F.col("_cut").alias("_fine"))
-    rated = rated.join(F.broadcast(low), source, "left")
-    more = (upper < F.col("_cut")) | ((upper == F.col("_cut")) & (lower < F.coalesce("_fine", F.lit(0))))
-    selection = rated.select(key, source, "size", (F.col("_copies") + more.cast("int")).alias("copies")).filter("copies > 0")
+    rated = items.join(F.broadcast(plan.select(source, "_copies", F.col("_extra").alias("_left"))), source).withColumn("_more", F.lit(False))
+    # First any item may be drawn; what is then left, less than the next item's size, is filled up with items much smaller.
+    for fits in (F.lit(True), (F.col("size") > 0) & (F.col("size") <= F.col("_left") / 16)):
+        rated = _draw(rated, source, ~F.col("_more") & fits)
+    selection = rated.select(key, source, "size", (F.col("_copies") + F.col("_more").cast("int")).alias("copies")).filter("copies > 0")
 
     got = selection.groupBy(source).agg(F.sum(F.col("size") * F.col("copies")).alias("reached"))
     report = plan.drop("_copies", "_extra").join(got, source, "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
@@ -104,11 +100,25 @@ def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame,
     return selection, report.select(source, "weight", "max_repeats", "available", "wanted", "target", "reached", share.alias("share"), "short")
 
 
-def _threshold(items: DataFrame, source: str, place: Column, amount: Column) -> DataFrame:
+def _draw(items: DataFrame, source: str, candidate: Column) -> DataFrame:
+    """Mark further candidates in order of hash until their sizes come to ``_left``; what is still left replaces it."""
+    upper, lower = F.floor(F.col("_h") / LEVEL).cast("int"), F.pmod("_h", F.lit(LEVEL))
+    items = items.withColumn("_can", candidate)
+    high = _threshold(items.filter("_can"), source, upper, F.col("_left"), "_cut", "_rest")
+    near = items.filter("_can").join(F.broadcast(high), source).filter(upper == F.col("_cut"))
+    low = _threshold(near, source, lower, F.col("_rest"), "_fine", "_rest2")
+    cuts = high.join(low, source, "left")  # one row per source
+    items = items.join(F.broadcast(cuts), source, "left")
+    taken = F.col("_can") & ((upper < F.col("_cut")) | ((upper == F.col("_cut")) & (lower < F.coalesce("_fine", F.lit(0)))))
+    items = items.withColumns({"_more": F.col("_more") | F.coalesce(taken, F.lit(False)), "_left": F.coalesce("_rest2", "_left")})
+    return items.drop("_can", "_cut", "_rest", "_fine", "_rest2")
+
+
+def _threshold(items: DataFrame, source: str, place: Column, amount: Column, cut: str, rest: str) -> DataFrame:
     """Per source the first place at which the sizes up to and with it exceed the amount, and what is left for that place."""
     sums = items.groupBy(source, place.alias("_at")).agg(F.sum("size").alias("s"), F.max(amount).alias("_amount"))
     upto = F.sum("s").over(Window.partitionBy(source).orderBy("_at"))  # at most LEVEL rows a source
     sums = sums.withColumn("_upto", upto).filter(F.col("_upto") > F.col("_amount"))
     first = sums.groupBy(source).agg(F.min_by(F.struct("_at", (F.col("_amount") - F.col("_upto") + F.col("s")).alias("_rest")), "_at").alias("f"))
-    cut = items.select(source).distinct().join(first, source, "left")
-    return pinned(cut.select(source, F.coalesce("f._at", F.lit(LEVEL)).alias("_cut"), F.coalesce("f._rest", F.lit(0.0)).alias("_rest")))
+    all_of = items.select(source).distinct().join(first, source, "left")
+    return pinned(all_of.select(source, F.coalesce("f._at", F.lit(LEVEL)).alias(cut), F.coalesce("f._rest", F.lit(0.0)).alias(rest)))
