@@ -174,7 +174,7 @@ def asset_benchmark(rows: DataFrame, bench: str, date: str = "date", entity: str
     if bench == "zero":
         return rows.withColumn("bench", F.lit(0.0))
     if bench in ("mean", "all_mean"):
-        return rows.crossJoin(F.broadcast(rows.agg(F.avg("ret").alias("bench"))))  # one row
+        return rows.withColumn("bench", F.lit(rows.agg(F.avg("ret")).first()[0]).cast("double"))
     if bench == "individual_mean":
         return attach(rows, rows.groupBy(entity).agg(F.avg("ret").alias("bench")), [entity])
     if bench == "all_mean_recursive":
