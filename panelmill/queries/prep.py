@@ -42,7 +42,8 @@ def _known(spark: SparkSession, path: str, take: list[str]) -> DataFrame:
     obs = attach(obs, names, ["entity_id"], "inner").withColumnRenamed("name", "entity")
     rows = table(spark, path, "characteristics").filter("marketcap is not null and not isnan(marketcap)")
     # A row serves observations of later dates only, so it isn't available before its own date is over.
-    since = F.greatest(F.col("known_at"), F.date_add("date", 1).cast("timestamp"))
+    over = F.timestamp_seconds((F.unix_date("date").cast("long") + 1) * 86_400)  # midnight UTC, whatever the session's time zone
+    since = F.greatest(F.col("known_at"), over)
     return known_at(obs, rows, "entity", F.col("as_of"), since, ["date", "known_at", "row_id"], ["obs_id", "date", "ret_excess"], take)
 
 
