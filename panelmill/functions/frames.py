@@ -33,9 +33,12 @@ def rolling(value: Column, agg, n: int, lag: int = 0, of: int | None = None) ->
 
 
 def strict(value: Column, agg, n: int, lag: int = 0) -> Column:
-    """Like ``rolling``, null if any input of the frame is null."""
-    full = F.count(value).over(frame(n + lag - 1, -lag)) == n
-    return F.when(full, rolling(value, agg, n, lag))
+    """``agg`` over the n rows that end ``lag`` rows before the current one, null if any of them is missing or null.
+
+    A frame that counts n values has n rows, so no row number is needed to tell that the window is complete.
+    """
+    w = frame(n + lag - 1, -lag)
+    return F.when(F.count(value).over(w) == n, agg(value).over(w))
 
 
 def compound(ret: Column, n: int, lag: int = 0) -> Column:

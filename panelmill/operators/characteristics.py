@@ -32,15 +32,15 @@ def momentum(df: DataFrame) -> DataFrame:
 
 def volume(df: DataFrame) -> DataFrame:
     traded, scaled = c("close") * c("volume"), F.try_divide(c("close") * c("volume"), c("marketcap"))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "volume_7d": strict(c("volume"), F.avg, 7),
             "volume_30d": strict(c("volume"), F.avg, 30),
-            "logvol": log(strict(c("volume"), F.avg, 7)),
             "prcvol": log(strict(traded, F.avg, 7)),
             "volscaled": log(strict(scaled, F.avg, 7)),
         }
     )
+    return df.withColumn("logvol", log(c("volume_7d")))
 
 
 def _products(df: DataFrame, names: tuple[str, ...], w) -> tuple[DataFrame, Column, dict]:
@@ -136,21 +136,28 @@ def delay(df: DataFrame, n: int = 30) -> DataFrame:
 
 
 def liquidity(df: DataFrame) -> DataFrame:
+    """Each frame is taken once; what several columns need of it is shared."""
     df = df.withColumn("turn", F.try_divide(F.lag("volume").over(along()), c("marketcap")))
-    ratio = lambda n: F.try_divide(strict(c("volume"), F.stddev_samp, n), strict(c("volume"), F.avg, n))
     before = partial(strict, c("turn"), n=30, lag=1)
-    return df.withColumns(
+    df = df.withColumns(
         {
             "illiq": strict(F.try_divide(F.abs("ret"), c("volume")), F.avg, 90),
             "turn_7d": strict(c("turn"), F.avg, 7),
             "std_turn": strict(c("turn"), F.stddev_samp, 30),
-            "std_vol": log(strict(c("volume"), F.stddev_samp, 30)),
-            "cv_vol": ratio(30),
+            "_sd30": strict(c("volume"), F.stddev_samp, 30),
+            "_avg30": strict(c("volume"), F.avg, 30),
+            "_avg15": strict(c("volume"), F.avg, 15),
             "sat": F.try_divide(F.lag("turn").over(along()) - before(F.avg), before(F.stddev_samp)),
-            "volsh_15d": log(c("volume")) - log(strict(c("volume"), F.avg, 15)),
-            "volsh_30d": log(c("volume")) - log(strict(c("volume"), F.avg, 30)),
         }
     )
+    return df.withColumns(
+        {
+            "std_vol": log(c("_sd30")),
+            "cv_vol": F.try_divide("_sd30", "_avg30"),
+            "volsh_15d": log(c("volume")) - log(c("_avg15")),
+            "volsh_30d": log(c("volume")) - log(c("_avg30")),
+        }
+    ).drop("_sd30", "_avg30", "_avg15")
 
 
 def detrended_turnover(df: DataFrame, n: int = 90) -> DataFrame:
@@ -163,13 +170,14 @@ def detrended_turnover(df: DataFrame, n: int = 90) -> DataFrame:
 
 def distribution(df: DataFrame, raw_kurtosis: bool = False) -> DataFrame:
     """Population skewness and excess kurtosis (``raw_kurtosis``: not less 3), greatest and least return over 7 and 30 rows."""
-    cols = {}
-    for n in (7, 30):
-        cols[f"skew_{n}d"] = strict(c("ret"), F.skewness, n)
-        cols[f"kurt_{n}d"] = strict(c("ret"), F.kurtosis, n) + (3.0 if raw_kurtosis else 0.0)
-        cols[f"maxret_{n}d"] = strict(c("ret"), F.max, n)
-        cols[f"minret_{n}d"] = strict(c("ret"), F.min, n)
-    return df.withColumns(cols)
+    frames = {n: frame(n - 1) for n in (7, 30)}
+    shapes = {"skew": F.skewness, "kurt": F.kurtosis, "maxret": F.max, "minret": F.min}
+    counts = {f"_seen{n}": F.count("ret").over(w) for n, w in frames.items()}
+    df = df.withColumns(counts | {f"{k}_{n}d": agg("ret").over(w) for n, w in frames.items() for k, agg in shapes.items()})
+    more = {"kurt": 3.0 if raw_kurtosis else 0.0}
+    return df.withColumns(
+        {f"{k}_{n}d": F.when(c(f"_seen{n}") == n, c(f"{k}_{n}d") + more.get(k, 0.0)) for n in frames for k in shapes}
+    ).drop(*counts)
 
 
 def bid_ask(df: DataFrame, n: int = 30) -> DataFrame:
