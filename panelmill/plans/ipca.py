@@ -194,6 +194,8 @@ def r2_column(fit: str, bench: Column | float = 0.0) -> Column:
 
 # Bootstrap tests and grids: many small estimates, one Spark task for each few of them.
 
+BLOCK = 20  # draws that are estimated together
+
 
 def _spread(spark: SparkSession, jobs: int, m: Moments, work, schema: str) -> DataFrame:
     """Run ``work(moments, job)`` for each job number on the cluster; it returns the rows of that job."""
@@ -219,10 +221,11 @@ def null_draw(m: Moments, fit_factors: np.ndarray, null_gamma: np.ndarray, resid
 
 
 def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[str], draws: int, min_tol: float, max_iters: int, given: np.ndarray) -> DataFrame:
-    """(test, draw, stat, observed) of the hypotheses that loadings are 0.
+    """(test, draw, stat, observed, converged) of the hypotheses that loadings are 0; a draw has converged if it reached ``min_tol``.
 
     A test is ``row:<l>`` (characteristic number l has no effect) or ``last`` (the last factor has none). Draw number n is seeded
-    with n, so the draws don't depend on how they are spread. A draw whose estimate is singular is drawn again.
+    with n, so the draws don't depend on how they are spread. A draw whose estimate is singular is drawn again. ``BLOCK`` draws are
+    estimated together.
     """
     residuals = m.x - fit.x_total
     plain = fit.gamma
@@ -239,35 +242,47 @@ def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[st
             g[:, -1] = 0
         return g
 
-    def work(moments: Moments, job: int) -> list[tuple]:
-        test, draw = tests[job // draws], job % draws
-        rng = np.random.RandomState(draw)
-        while True:
-            x = null_draw(moments, fit.factors, null(test), residuals, rng)
-            try:
-                e = kernel.estimate(x, moments.w, moments.n, fit.k, given, min_tol, max_iters)
-                return [(test, draw, stat(e.gamma, test), stat(plain, test))]
-            except np.linalg.LinAlgError:
-                continue
+    blocks = -(-draws // BLOCK)
 
-    return _spread(spark, len(tests) * draws, m, work, "test string, draw int, stat double, observed double")
+    def work(moments: Moments, job: int) -> list[tuple]:
+        test, begin = tests[job // blocks], job % blocks * BLOCK
+        zero, numbers = null(test), range(begin, min(begin + BLOCK, draws))
+        drawn = lambda rng: null_draw(moments, fit.factors, zero, residuals, rng)
+        try:
+            x = np.array([drawn(np.random.RandomState(draw)) for draw in numbers])
+            found = kernel.estimate_many(x, moments.w, moments.n, fit.k, given, min_tol, max_iters)
+        except np.linalg.LinAlgError:
+            found = []
+            for draw in numbers:
+                rng = np.random.RandomState(draw)
+                while len(found) <= draw - begin:
+                    try:
+                        found.append(kernel.estimate(drawn(rng), moments.w, moments.n, fit.k, given, min_tol, max_iters))
+                    except np.linalg.LinAlgError:
+                        continue
+        return [(test, draw, stat(e.gamma, test), stat(plain, test), e.tol <= min_tol) for draw, e in zip(numbers, found)]
+
+    return _spread(spark, len(tests) * blocks, m, work, "test string, draw int, stat double, observed double, converged boolean")
 
 
 def p_values(draws: DataFrame) -> DataFrame:
-    """(test, observed, pval): the share of draws above the observed statistic."""
-    return draws.groupBy("test").agg(F.max("observed").alias("observed"), F.avg((F.col("stat") > F.col("observed")).cast("double")).alias("pval"))
+    """(test, observed, pval, draws, converged): the share of draws above the observed statistic, and how many draws there are and converged."""
+    return draws.groupBy("test").agg(
+        F.max("observed").alias("observed"), F.avg((F.col("stat") > F.col("observed")).cast("double")).alias("pval"),
+        F.count(F.lit(1)).alias("draws"), F.count_if("converged").alias("converged"),
+    )
 
 
 def wald_beta(spark: SparkSession, m: Moments, fit: Fit, chars: Sequence[str], given: np.ndarray, draws: int = 1000, min_tol: float = 1e-6, max_iters: int = 1000) -> DataFrame:
-    """(characteristic, observed, pval): does the characteristic have no effect on any loading?"""
+    """(characteristic, observed, pval, draws, converged): does the characteristic have no effect on any loading?"""
     tests = {f"row:{m.chars.index(c)}": c for c in chars}
     got = p_values(wild_bootstrap(spark, m, fit, list(tests), draws, min_tol, max_iters, given))
     label = F.create_map(*[F.lit(v) for kv in tests.items() for v in kv])
-    return got.select(label[F.col("test")].alias("characteristic"), "observed", "pval")
+    return got.select(label[F.col("test")].alias("characteristic"), "observed", "pval", "draws", "converged")
 
 
 def wald_last(spark: SparkSession, m: Moments, fit: Fit, given: np.ndarray, draws: int = 1000, min_tol: float = 1e-6, max_iters: int = 1000, compat: bool = False) -> DataFrame:
-    """(test, observed, pval): do the loadings on the last factor vanish? With a constant given factor that is the test of alpha,
+    """(test, observed, pval, draws, converged): do the loadings on the last factor vanish? With a constant given factor that is the test of alpha,
     with one other given factor that of delta. ``compat`` tests the last latent factor of a model without a given one."""
     if not compat and given.shape[1] != 1:
         raise ValueError("exactly one given factor is needed")

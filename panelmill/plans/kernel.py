@@ -105,6 +105,92 @@ def estimate(
     return Estimate(gamma, factors, tol, iters)
 
 
+def estimate_many(
+    x: np.ndarray, w: np.ndarray, n: np.ndarray, k: int, given: np.ndarray | None = None, min_tol: float = 1e-4, max_iters: int = 5000,
+) -> list[Estimate]:
+    """``estimate`` for many moments ``x`` (B, T, L) that share w and n: the same steps, as matrix products over all of them.
+
+    Those that have come to rest drop out. Raises LinAlgError if any of them is singular.
+    """
+    b_all, t_all, size = x.shape
+    given = np.zeros((t_all, 0)) if given is None else given
+    m = given.shape[1]
+    km = k + m
+    if k == 0:
+        return [estimate(v, w, n, k, given, min_tol, max_iters) for v in x]
+    flat = w.reshape(t_all, size * size)
+    flat_t = np.ascontiguousarray(flat.T)
+    u, s, vt = np.linalg.svd(x.transpose(0, 2, 1), full_matrices=False)
+    gamma = np.concatenate([u[:, :, :k], np.zeros((b_all, size, m))], axis=2)
+    fixed = np.broadcast_to(given, (b_all, t_all, m))
+    factors = np.concatenate([(s[:, :k, None] * vt[:, :k]).transpose(0, 2, 1), fixed], axis=2)
+    out: list[Estimate] = [None] * b_all  # type: ignore[list-item]
+    at, iters = np.arange(b_all), 0
+    if not max_iters:
+        return [Estimate(g, f, np.inf, 0) for g, f in zip(gamma, factors)]
+    while len(at):
+        iters += 1
+        b = len(at)
+        # factor_step: latent' w [latent, fixed] of all dates in one product
+        pairs = gamma[:, :, None, :k, None] * gamma[:, None, :, None, :]
+        q = (flat @ pairs.transpose(1, 2, 0, 3, 4).reshape(size * size, b * k * km)).reshape(t_all, b, k, km)
+        right = (x @ gamma[:, :, :k]).transpose(1, 0, 2)
+        for j in range(m):
+            right = right - q[..., k + j] * given[:, None, j, None]
+        new_l = _solve_small(q[..., :k], right).transpose(1, 0, 2)
+        new_f = np.concatenate([new_l, fixed[:b]], axis=2)
+        # loading_step
+        nf = n[:, None] * new_f
+        outer = (nf[..., :, None] * new_f[..., None, :]).transpose(1, 0, 2, 3).reshape(t_all, b * km * km)
+        a = (flat_t @ outer).reshape(size, size, b, km, km).transpose(2, 0, 3, 1, 4).reshape(b, size * km, size * km)
+        new_g = solve(a, (x.transpose(0, 2, 1) @ nf).reshape(b, size * km)).reshape(b, size, km)
+        new_g, new_f = _normalise_many(new_g, new_f, k)
+        tol = np.maximum(np.abs(new_g - gamma).max(axis=(1, 2)), np.abs(new_f - factors).max(axis=(1, 2)))
+        if not np.isfinite(tol).all():
+            raise np.linalg.LinAlgError("singular")
+        gamma, factors = new_g, new_f
+        done = (tol <= min_tol) | (iters >= max_iters)
+        if done.any():
+            for i in np.flatnonzero(done):
+                out[at[i]] = Estimate(gamma[i].copy(), factors[i].copy(), float(tol[i]), iters)
+            at, gamma, factors, x = at[~done], gamma[~done], factors[~done], x[~done]
+    return out
+
+
+def _solve_small(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``solve``, written out for one and two unknowns unless a matrix is singular."""
+    k = a.shape[-1]
+    if k == 1 and a.all():
+        return b / a[..., 0]
+    if k == 2:
+        det = a[..., 0, 0] * a[..., 1, 1] - a[..., 0, 1] * a[..., 1, 0]
+        if det.all():
+            top = a[..., 1, 1] * b[..., 0] - a[..., 0, 1] * b[..., 1]
+            low = a[..., 0, 0] * b[..., 1] - a[..., 1, 0] * b[..., 0]
+            return np.stack([top / det, low / det], axis=-1)
+    return solve(a, b)
+
+
+def _normalise_many(gamma: np.ndarray, factors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``normalise`` without ``rows`` for (B, L, K + M) and (B, T, K + M); the rotation comes from the K x K second moments."""
+    lf, gf, lg, gg = gamma[..., :k], gamma[..., k:], factors[..., :k], factors[..., k:]
+    q, r = np.linalg.qr(lf)
+    rt = r.transpose(0, 2, 1)
+    u = np.linalg.eigh(r @ (lg.transpose(0, 2, 1) @ lg) @ rt)[1][..., ::-1]
+    lf, lg = q @ u, lg @ (rt @ u)
+
+    def positive(a: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sign = np.where(f.mean(axis=1, keepdims=True) < 0, -1.0, 1.0)
+        return a * sign, f * sign
+
+    lf, lg = positive(lf, lg)
+    if gf.shape[2]:
+        shared = lf.transpose(0, 2, 1) @ gf
+        gf, lg = gf - lf @ shared, lg + gg @ shared.transpose(0, 2, 1)
+        lf, lg = positive(lf, lg)
+    return np.concatenate([lf, gf], axis=2), np.concatenate([lg, gg], axis=2)
+
+
 def var1(factors: np.ndarray) -> np.ndarray:
     """(K + M, K + M + 1): coefficients of factors on their previous values, the constant last."""
     past = np.hstack([factors[:-1], np.ones((len(factors) - 1, 1))])

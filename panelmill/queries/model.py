@@ -16,6 +16,7 @@ from panelmill.sources.panel import estimation_panel
 
 QUERIES, ORACLES = {}, {}
 FEW = ["mcap", "beta", "illiq"]
+DRAWS = 1000  # of each bootstrap test
 #: Fixed loadings for the queries that SQL can check.
 GAMMA = {"mcap": 0.6, "beta": -0.5, "illiq": 0.4}
 
@@ -176,10 +177,10 @@ def var1_lambda(spark: SparkSession, path: str) -> DataFrame:
 
 @query()
 def wald_beta(spark: SparkSession, path: str) -> DataFrame:
-    """p-values of three characteristics from 20 draws each."""
+    """p-values of all characteristics from 1,000 draws each."""
     model = _model(spark, path)
     fit = model.fit(K=1, minTol=1e-6)
-    return ipca.wald_beta(spark, model.moments, fit, FEW, np.zeros((len(fit.dates), 0)), draws=20)
+    return ipca.wald_beta(spark, model.moments, fit, CHARS, np.zeros((len(fit.dates), 0)), draws=DRAWS)
 
 
 @query()
@@ -187,12 +188,14 @@ def pvalue_matrix(spark: SparkSession, path: str) -> DataFrame:
     """p-values written to one CSV folder per number of factors, read back with that number from the name, side by side with scores."""
     model, at = _model(spark, path), files.scratch(spark)
     for k in (1, 2):
-        fit = model.fit(K=k, minTol=1e-6, maxIters=500)
-        got = ipca.wald_beta(spark, model.moments, fit, FEW, np.zeros((len(fit.dates), 0)), draws=10, max_iters=500)
-        files.write_csv(got.select("characteristic", F.col("pval").alias("pval_beta")), f"{at}/{k}_factors_pvals")
-    rows = files.keyed_csv(spark, f"{at}/*_factors_pvals", "characteristic string, pval_beta double")
-    wide = order_by_list(wide_by(rows, "characteristic", "k", [1, 2], "pval_beta", "k"), "characteristic", FEW)
-    return wide.select("place", "characteristic", "k1", "k2", significance(F.col("k1")).alias("score_k1"), significance(F.col("k2")).alias("score_k2"))
+        fit = model.fit(K=k, minTol=1e-6)
+        got = ipca.wald_beta(spark, model.moments, fit, CHARS, np.zeros((len(fit.dates), 0)), draws=DRAWS)
+        files.write_csv(got.select("characteristic", F.col("pval").alias("pval_beta"), "converged"), f"{at}/{k}_factors_pvals")
+    rows = files.keyed_csv(spark, f"{at}/*_factors_pvals", "characteristic string, pval_beta double, converged long")
+    wide = wide_by(rows, "characteristic", "k", [1, 2], "pval_beta", "k").join(wide_by(rows, "characteristic", "k", [1, 2], "converged", "converged_k"), "characteristic")
+    wide = order_by_list(wide, "characteristic", CHARS)
+    scores = [significance(F.col(f"k{k}")).alias(f"score_k{k}") for k in (1, 2)]
+    return wide.select("place", "characteristic", "k1", "k2", *scores, *[F.col(f"converged_k{k}").cast("long").alias(f"converged_k{k}") for k in (1, 2)])
 
 
 @query()
@@ -200,7 +203,7 @@ def wald_alpha(spark: SparkSession, path: str) -> DataFrame:
     """Is there an intercept beside one latent factor?"""
     model = _model(spark, path)
     fit = model.fit(K=1, gFac={d: [1.0] for d in model.moments.dates}, G_names=["alpha"], minTol=1e-6, maxIters=1000)
-    return ipca.wald_last(spark, model.moments, fit, np.ones((len(fit.dates), 1)), draws=20)
+    return ipca.wald_last(spark, model.moments, fit, np.ones((len(fit.dates), 1)), draws=DRAWS)
 
 
 @query()
@@ -209,7 +212,7 @@ def wald_delta(spark: SparkSession, path: str) -> DataFrame:
     model, table = _with_factors(spark, path)
     given = {d: v[:1] for d, v in table.items()}
     fit = model.fit(K=1, gFac=given, G_names=["cmkt"], maxIters=100)
-    return ipca.wald_last(spark, model.moments, fit, ipca.given_factors(model.moments, given), draws=20, max_iters=100)
+    return ipca.wald_last(spark, model.moments, fit, ipca.given_factors(model.moments, given), draws=DRAWS)
 
 
 @query()

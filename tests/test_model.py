@@ -173,3 +173,39 @@ def test_save(tmp_path, model):
     fit = model[0].fit(K=1)
     ipca.save(fit, str(tmp_path / "fit"))
     assert np.allclose(np.load(tmp_path / "fit.npz")["gamma"], fit.gamma)
+
+
+def test_many_estimates_together_equal_single_ones(model):
+    m, _, _, f = model
+    m = m.moments
+    rng = np.random.RandomState(8)
+    x = m.x + rng.normal(0, 1e-3, (5, *m.x.shape))
+    for k, given in ((1, None), (2, None), (3, None), (1, f[:, :1]), (2, np.ones((60, 1)))):
+        for got, v in zip(kernel.estimate_many(x, m.w, m.n, k, given, 1e-7, 300), x):
+            want = kernel.estimate(v, m.w, m.n, k, given, 1e-7, 300)
+            assert got.iters == want.iters and np.allclose(got.gamma, want.gamma, atol=1e-6) and np.allclose(got.factors, want.factors, atol=1e-6)
+
+
+def test_bootstrap_tells_which_draws_converged(spark, model):
+    m = model[0]
+    fit = m.fit(K=1, minTol=1e-6)
+    none = np.zeros((60, 0))
+    short, whole = (ipca.wald_beta(spark, m.moments, fit, ["c0"], none, draws=25, max_iters=i).first() for i in (1, 1000))
+    assert (short.draws, short.converged) == (25, 0) and whole.draws == 25 and whole.converged > 0
+
+
+def test_registered_bootstraps_draw_a_thousand_times_for_every_characteristic(spark, monkeypatch):
+    from panelmill.queries import model as q
+
+    seen, plain = [], ipca.wild_bootstrap
+
+    def few(spark, m, fit, tests, draws, min_tol, max_iters, given):
+        seen.append((len(tests), draws, max_iters))
+        return plain(spark, m, fit, tests, 2, min_tol, 2, given)
+
+    monkeypatch.setattr(ipca, "wild_bootstrap", few)
+    path = "/root/testdata/sf0.001"
+    rows = q.pvalue_matrix(spark, path).collect()
+    assert {r.characteristic for r in rows} == set(q.CHARS) and all(r.converged_k1 is not None and r.converged_k2 is not None for r in rows)
+    assert q.wald_beta(spark, path).count() == 8 and q.wald_alpha(spark, path).count() == 1
+    assert seen == [(8, 1000, 1000)] * 3 + [(1, 1000, 1000)]
