@@ -208,6 +208,24 @@ def test_spikes_against_brute_force(spark):
     assert spikes(spark.createDataFrame([], READ), "field", "entity", "t", "value", "id", FIELDS).count() == 0
 
 
+def test_spikes_in_long_runs_and_turbulent_stretches(spark):
+    rng = np.random.RandomState(1)
+    rows = []
+    for e in ["calm", *range(9, 16), 30]:
+        cap, ret = np.cumsum(rng.normal(0, 0.01, 600)) + 5, rng.normal(0, 0.02, 600)
+        if e == "calm":  # then not: a stretch in which the distances are ten times as large
+            cap[300:360] += rng.normal(0, 0.1, 60)
+            ret[300:400] = rng.normal(0, 0.15, 100)
+        else:
+            cap[300 : 300 + e] += 2
+            ret[300 : 300 + e] += 3
+        rows += [(f, str(e), at(k), float(x), 2 * (len(rows) + k) + (f == "ret"), "q") for f, v in (("cap", np.exp(cap)), ("ret", ret)) for k, x in enumerate(v)]
+    got = {(r.field, r.id) for r in spikes(spark.createDataFrame(rows, READ), "field", "entity", "t", "value", "id", FIELDS).collect()}
+    assert got == brute_spikes(rows)
+    faulty = {(r[0], r[4]) for r in rows if r[1] != "calm" and (r[0] == "ret" or int(r[1]) <= 15) and at(300) <= r[2] < at(300 + int(r[1]))}
+    assert faulty <= got
+
+
 def test_chart_parts():
     x = np.array([1.0, 1, 1, 1, 1, 2, 3, 3])
     assert stuck_runs(x, 5).tolist() == [False, True, True, True, True, False, False, False]
