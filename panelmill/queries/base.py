@@ -10,6 +10,8 @@ from panelmill.operators.market import with_market
 from panelmill.sources.panel import panel, risk_free
 
 BENCHMARK = "quorvalt"
+#: The reference's first and last date of factors and estimation.
+FIRST, LAST = "2018-06-01", "2025-07-31"
 
 
 def usable(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from panelmill.operators import characteristics as ch
 from panelmill.operators import cross_section as cs
 from panelmill.operators import factors as fac
 from panelmill.operators.market import market_series
-from panelmill.queries.base import EXCESS, RETURNS, num, qnum, returns, skip
+from panelmill.queries.base import EXCESS, FIRST, RETURNS, num, qnum, returns, skip
 from panelmill.queries.characteristics import PROD, YZ, YZ_STEPS, _yz
 from panelmill.sources.panel import estimation_panel, risk_free
 
@@ -146,9 +146,16 @@ join mf using (date) join f2 using (date) join f3 using (date) where date >= '20
 
 @query(_ALL)
 def factor_table(spark: SparkSession, path: str) -> DataFrame:
+    """The last months only, as its SQL has them; ``factor_history`` has all dates."""
     return factor_frame(spark, path, "2025-03-15").select("date", *[num(c) for c in ("cmkt", "smb", "cmom", "liq", "vol")])
 
 
+@query(_ALL.replace("2025-03-15", FIRST))
+def factor_history(spark: SparkSession, path: str) -> DataFrame:
+    """The factors of all dates from the reference's floor on."""
+    return factor_frame(spark, path, FIRST).select("date", *[num(c) for c in ("cmkt", "smb", "cmom", "liq", "vol")])
+
+
 @query("""with m as (select strftime(date, '%Y%m')::bigint as month_key, sector, avg(ret) as r from panel_clean where isfinite(ret) group by 1, 2)
 select month_key, round(max(case when sector = 'meme' then r end), 8) + 0.0 as s_meme, round(max(case when sector = 'oracle' then r end), 8) + 0.0 as s_oracle from m group by 1""")
 def pivot_mean(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators import clean, describe, market
-from panelmill.queries.base import BENCHMARK, EXCESS, PANEL, RETURNS, excess, num, qnum, qsci, returns, sci, usable
+from panelmill.queries.base import BENCHMARK, EXCESS, FIRST, LAST, PANEL, RETURNS, excess, num, qnum, qsci, returns, sci, usable
 from panelmill.session import table
 from panelmill.sources.panel import panel, risk_free
 
@@ -88,6 +88,14 @@ def min_cross_section(spark: SparkSession, path: str) -> DataFrame:
     return clean.min_cross_section(clean.min_observations(rows, 60), 30).select("entity", "date")
 
 
+@query(f"""with {PANEL}, e as (select entity, date from use where date between '{FIRST}' and '{LAST}'
+qualify count(*) over (partition by entity) >= 60) select entity, date from e qualify count(*) over (partition by date) >= 30""")
+def min_cross_section_history(spark: SparkSession, path: str) -> DataFrame:
+    """``min_cross_section`` over the reference's range of dates."""
+    rows = usable(spark, path).filter(F.col("date").between(FIRST, LAST))
+    return clean.min_cross_section(clean.min_observations(rows, 60), 30).select("entity", "date")
+
+
 @query("""select entity, date, obs_id from estimation_panel qualify row_number() over (partition by entity, date order by obs_id) = 1""")
 def dedup_first(spark: SparkSession, path: str) -> DataFrame:
     rows = table(spark, path, "estimation_panel").select("entity", "date", "obs_id")

@@ -224,3 +224,26 @@ def test_bars_on_a_stream_and_on_a_table(spark, tmp_path):
     batch = {(r.start, r.open, r.high, r.low, r.close, r.readings) for r in daily_bars(df).collect()}
     assert len(batch) == 5 and (dt.datetime(2024, 1, 2), 2.0, 18.0, 2.0, 18.0, 3) in batch
     assert streamed and streamed <= batch
+
+
+def test_factors_and_cross_sections_of_all_dates(spark, tmp_path):
+    from panelmill.queries.cross_section import factor_history
+    from panelmill.queries.panel import min_cross_section_history
+
+    rng = np.random.RandomState(2)
+    days = [dt.date(2018, 4, 10) + dt.timedelta(days=i) for i in range(80)]
+    rows, shift = [], {f"e{e:02}": np.exp(np.cumsum(rng.normal(0, 0.05, len(days)))) for e in range(40)}
+    for e, close in shift.items():
+        for d, c in zip(days, close):
+            o = float(c * math.exp(rng.normal(0, 0.01)))
+            rows.append((len(rows), d, e, o, max(o, c) * 1.01, min(o, c) * 0.99, float(c), float(rng.randint(100, 1000)), float(rng.randint(10**6, 10**7)), None, "meme", dt.datetime.combine(d, dt.time())))
+    kinds = "row_id long, date date, entity string, open double, high double, low double, close double, volume double, marketcap double, ret double, sector string, read_at timestamp"
+    spark.createDataFrame([tuple(float(v) if isinstance(v, np.floating) else v for v in r) for r in rows], kinds).write.parquet(f"{tmp_path}/panel_clean.parquet")
+    spark.createDataFrame([(d, 4.0) for d in days], "date date, rate_pct double").write.parquet(f"{tmp_path}/risk_free.parquet")
+    floor = dt.date(2018, 6, 1)
+    assert sorted(r.date for r in factor_history(spark, str(tmp_path)).collect()) == [d for d in days if d >= floor]
+    few = min_cross_section_history(spark, str(tmp_path))
+    assert few.count() == 0  # 28 days from the floor on are too few for an entity
+    spark.createDataFrame([tuple(float(v) if isinstance(v, np.floating) else v for v in (*r[:1], r[1] + dt.timedelta(days=40), *r[2:])) for r in rows], kinds).write.parquet(f"{tmp_path}/later/panel_clean.parquet")
+    late = min_cross_section_history(spark, f"{tmp_path}/later").select("date").distinct().collect()
+    assert sorted(r.date for r in late) == [d + dt.timedelta(days=40) for d in days if d + dt.timedelta(days=40) >= floor]
