@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows of a table that may be broadcast. At the widths used here that is some tens of MB.
-BROADCAST_ROWS = 200_000
+#: Most bytes of a table that may be broadcast, as ``byte_size`` counts them.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 16  # what a row costs besides its values
 
 
 def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,10 +39,15 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; make a temporary one only where none is set (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``. Where none is set a local session gets a temporary one; a cluster
+    session raises, as a folder of one machine is no place the others can read."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelmill-cp-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelmill-cp-"))
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -57,6 +64,25 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value: eight for a number, the length of a text, the sum of its parts for anything nested."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        size = F.octet_length(value)
+    elif isinstance(kind, T.StructType):
+        size = sum((_value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    elif isinstance(kind, T.ArrayType | T.MapType):
+        size = F.octet_length(F.to_json(value))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
+def byte_size(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``, summed up where they are; ``df`` should be pinned."""
+    each = sum((_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES).cast("long"))
+    return df.agg(F.sum(each)).first()[0] or 0
+
+
 def same(left: DataFrame, right: DataFrame, cols: Sequence[str]):
     """Null-safe equality of the columns of two frames."""
     cond = F.lit(True)
@@ -65,17 +91,16 @@ def same(left: DataFrame, right: DataFrame, cols: Sequence[str]):
     return cond
 
 
-def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", most: int = BROADCAST_BYTES) -> DataFrame:
     """Join columns of ``small`` (one row per key) to ``big``, null keys matching null keys.
 
-    ``small`` is pinned and counted first. It is broadcast up to ``rows`` rows; beyond that the join is a
+    ``small`` is pinned and its bytes are summed up first. It is broadcast up to ``most`` bytes; beyond that the join is a
     shuffle join, which adaptive execution splits where a key of ``big`` is hot.
     """
     small = pinned(small)
     keys = {c: f"_{c}_key" for c in on}
     right = small.withColumnsRenamed(keys)
-    if within(small, rows):
-        right = F.broadcast(right)
+    right = F.broadcast(right) if byte_size(small) <= most else right.hint("shuffle_merge")
     cond = F.lit(True)
     for c, k in keys.items():
         cond = cond & big[c].eqNullSafe(right[k])
