@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.session import attach
+from panelmill.session import attach, pinned
 
 MOST_CLASSES = 256
 PRIOR = 0.1  # weight, in rows, of the overall class shares against an entity's own rows
@@ -59,14 +59,20 @@ def impute(
 
     Method: chained equations. Each numeric field is regressed on its mean over the entity's other rows, its mean over the
     other rows of the time, the predictors, the other numeric fields and the classes; each class field is classified by the
-    entity's other rows (a Dirichlet prior) and normal densities of the numeric columns per class. One fit is one aggregation
-    over the table (sums of products per class), of which a matrix no larger than the number of columns reaches the driver.
-    The fits go round ``iterations`` times, each using the fillings of the one before. Masks are kept; fillings are drawn:
-    the regression's residual scale times a normal number, and a class by its posterior probability, both seeded by key.
-
-    Means and counts of entities and times are made with map-side combine and joined back by broadcast only if they are few,
-    so an entity with a third of all rows is no burden. A null entity or time is one of its own. A missing predictor is
-    replaced by its overall mean. A field without any valid value is left null and marked. Input columns with the name
+    entity's other rows (a Dirichlet prior) and normal densities of the numeric columns per class. The fits go round
+    ``iterations`` times, each round using the fillings of the one before. Masks are kept; fillings are drawn: the
+    regression's residual scale times a normal number, and a class by its posterior probability, both seeded by key.
+
+    Every fit follows from sums of products per class. Those of the rows that miss nothing never change, so they are
+    taken once, in one aggregation; a round sums up the incomplete rows alone, which are pinned, in one aggregation for
+    all fields. Matrices no larger than the number of columns and classes reach the driver.
+
+    Means and counts of entities and times come from one aggregation with map-side combine and are joined back by broadcast
+    only if they are few, so an entity with a third of all rows is no burden. The mean over an entity's (a time's) other rows
+    is drawn towards the overall mean by the weight of ``within / between`` rows, the ratio of the variances within and
+    between entities: where entities differ much, a single other reading counts for nearly all.
+
+    A null entity or time is one of its own. A missing predictor is replaced by its overall mean. A field without any valid value is left null and marked. Input columns with the name
     of an output column are replaced. Equal keys get equal draws. An empty table gives an empty result.
     """
     df = df.drop(*[f"{c}{end}" for c in (*numeric, *classes) for end in ("_filled", "_was_missing")])
@@ -87,63 +93,83 @@ def impute(
         | {f"_c_{c}": F.lit(None).cast("int") for c, v in classes.items() if not v}
     )
     # Means and counts by entity and by time, from observed values only.
-    sums = [x for c in numbers for x in (F.count(f"_y_{c}").alias(f"n_{c}"), F.coalesce(F.sum(f"_y_{c}"), F.lit(0.0)).alias(f"s_{c}"))]
-    counts = [F.count_if(F.col(f"_c_{c}") == k + 1).alias(f"k_{c}_{k}") for c, v in classes.items() for k in range(len(v))]
-    by_entity = base.groupBy(entity).agg(*sums, *counts, F.count(F.lit(1)).alias("_all"))
-    by_time = base.groupBy(time).agg(*sums, F.count(F.lit(1)).alias("_all"))
-    named = lambda d, p, k: d.select(k, *[F.col(c).alias(f"{p}{c}") for c in d.columns if c not in (k, "_all")])
-    whole = base.agg(
-        *[F.avg(f"_y_{c}").alias(f"y_{c}") for c in numbers],
-        *[F.avg(f"_x_{c}").alias(f"x_{c}") for c in predictors],
-        *counts,
-    ).first()
-    rows = attach(attach(base, named(by_entity, "_e_", entity), [entity]), named(by_time, "_t_", time), [time])
-
-    mean = {c: whole[f"y_{c}"] or 0.0 for c in numbers}
-    shares = {c: _shares([whole[f"k_{c}_{k}"] for k in range(len(v))]) for c, v in classes.items()}
+    y = {c: F.col(f"_y_{c}") for c in numbers}
+    sums = [x for c, v in y.items() for x in (F.count(v).alias(f"_n_{c}"), F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_s_{c}"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias(f"_q_{c}"))]
+    sums += [x for c in predictors for x in (F.count(f"_x_{c}").alias(f"_xn_{c}"), F.coalesce(F.sum(f"_x_{c}"), F.lit(0.0)).alias(f"_xs_{c}"))]
+    sums += [F.count_if(F.col(f"_c_{c}") == k + 1).alias(f"_k_{c}_{k}") for c, v in classes.items() for k in range(len(v))]
+    by = pinned(base.groupingSets([[F.col(entity)], [F.col(time)]], F.col(entity), F.col(time)).agg(F.grouping_id().alias("_by"), *sums))
+    of = {"e": by.filter("_by = 1").drop("_by", time), "t": by.filter("_by = 2").drop("_by", entity)}
+    keys = {"e": entity, "t": time}
+    whole = of["e"].agg(*[F.sum(c).alias(c) for c in of["e"].columns if c != entity]).first()
+    mean = {c: (whole[f"_s_{c}"] or 0.0) / max(whole[f"_n_{c}"] or 0, 1) for c in numbers}
+    x_mean = {c: (whole[f"_xs_{c}"] or 0.0) / max(whole[f"_xn_{c}"] or 0, 1) for c in predictors}
+    weight = {p: _pull(of[p], numbers, mean) for p in of}
+    rows = base
+    for p, d in of.items():
+        used = [*[f"_{w}_{c}" for c in numbers for w in "ns"], *([f"_k_{c}_{k}" for c, v in classes.items() for k in range(len(v))] if p == "e" else [])]
+        rows = attach(rows, d.select(keys[p], *[F.col(c).alias(f"_{p}{c}") for c in used]), [keys[p]])
+
+    shares = {c: _shares([whole[f"_k_{c}_{k}"] or 0 for k in range(len(v))]) for c, v in classes.items()}
     columns = {}
     for c in numbers:
-        seen = F.when(F.col(f"_y_{c}").isNotNull(), 1).otherwise(0)
-        own = F.coalesce(F.col(f"_y_{c}"), F.lit(0.0))
-        for p in "et":  # the mean over the other rows, drawn towards the overall mean by the weight of one row
-            others = (F.col(f"_{p}_s_{c}") - own + mean[c]) / (F.col(f"_{p}_n_{c}") - seen + 1)
-            columns[f"_m{p}_{c}"] = others - mean[c]
+        seen = F.when(y[c].isNotNull(), 1).otherwise(0)
+        own = F.coalesce(y[c], F.lit(0.0))
+        for p in of:  # the mean over the other rows, drawn towards the overall mean
+            others = F.col(f"_{p}_n_{c}") - seen
+            columns[f"_m{p}_{c}"] = (F.col(f"_{p}_s_{c}") - own - others * mean[c]) / (others + weight[p][c])
     for c in predictors:
-        columns[f"_p_{c}"] = F.coalesce(F.col(f"_x_{c}") - (whole[f"x_{c}"] or 0.0), F.lit(0.0))
+        columns[f"_p_{c}"] = F.coalesce(F.col(f"_x_{c}") - x_mean[c], F.lit(0.0))
     rows = rows.withColumns(columns)
     # First fillings: the entity's mean and its most frequent class.
-    rows = rows.withColumns({f"_v_{c}": F.coalesce(F.col(f"_y_{c}") - mean[c], F.col(f"_me_{c}")) for c in numbers})
+    rows = rows.withColumns({f"_v_{c}": F.coalesce(y[c] - mean[c], F.col(f"_me_{c}")) for c in numbers})
     for c, v in classes.items():
         if v:
             first = F.array_max(F.array(*[F.struct((F.col(f"_e_k_{c}_{k}") + shares[c][k]).alias("s"), F.lit(k + 1).alias("k")) for k in range(len(v))]))["k"]
             rows = rows.withColumn(f"_g_{c}", F.coalesce(F.col(f"_c_{c}"), first))
-
-    live = {c: v for c, v in classes.items() if v and sum(whole[f"k_{c}_{k}"] for k in range(len(v)))}
-    known = [c for c in numbers if whole[f"y_{c}"] is not None]
+        else:
+            rows = rows.withColumn(f"_g_{c}", F.col(f"_c_{c}"))
+
+    live = {c: v for c, v in classes.items() if v and sum(whole[f"_k_{c}_{k}"] or 0 for k in range(len(v)))}
+    known = [c for c in numbers if whole[f"_n_{c}"]]
+    fields = [*[f"_y_{c}" for c in numbers], *[f"_c_{c}" for c in classes]]
+    complete = F.lit(True)
+    for f in fields:
+        complete = complete & F.col(f).isNotNull()
+    x = [*[f"_m{p}_{c}" for c in numbers for p in of], *[f"_p_{p}" for p in predictors], *[f"_v_{c}" for c in numbers]]
+    have = [f"_y_{c}" for c in known] + [f"_c_{c}" for c in live]
+    fixed = _products(rows.filter(complete), x, live, have)
+    parts = pinned(rows.filter(~complete))
     for step in range(iterations):
+        sums = fixed + _products(parts, x, live, have)
+        fills = {}
         for c in known:
-            x = [f"_me_{c}", f"_mt_{c}", *[f"_p_{p}" for p in predictors], *[f"_v_{o}" for o in numbers if o != c]]
-            model = _regress(rows.filter(F.col(f"_y_{c}").isNotNull()), F.col(f"_y_{c}") - mean[c], x, {g: len(live[g]) for g in live})
-            guess = F.lit(model.constant) + sum((F.lit(b) * F.col(k) for b, k in zip(model.slopes, x)), F.lit(0.0))
+            wanted = {f"_me_{c}", f"_mt_{c}", *[f"_p_{p}" for p in predictors], *[f"_v_{o}" for o in numbers if o != c]}
+            use = [i for i, name in enumerate(x) if name in wanted]
+            model = _regress([s for s in sums if f"_y_{c}" in s.seen], x.index(f"_v_{c}"), use, {g: len(v) for g, v in live.items()})
+            guess = F.lit(model.constant) + sum((F.lit(b) * F.col(x[i]) for b, i in zip(model.slopes, use)), F.lit(0.0))
             for g, effects in model.effects.items():
                 guess = guess + F.element_at(F.array(*[F.lit(e) for e in effects]), F.col(f"_g_{g}"))
             drawn = guess + model.spread * _normal(key, seed, c, step)
-            rows = rows.withColumn(f"_v_{c}", F.when(F.col(f"_y_{c}").isNotNull(), F.col(f"_y_{c}") - mean[c]).otherwise(drawn))
+            fills[f"_v_{c}"] = F.when(y[c].isNotNull(), y[c] - mean[c]).otherwise(drawn)
         for c, v in live.items():
-            x = [*[f"_p_{p}" for p in predictors], *[f"_v_{o}" for o in numbers]]
-            seen = rows.filter(F.col(f"_c_{c}").isNotNull())
-            fit = {r["_k"]: r for r in _moments(seen, F.col(f"_c_{c}"), x).collect()}  # one row per class
+            use = [i for i, name in enumerate(x) if name in {*[f"_p_{p}" for p in predictors], *[f"_v_{o}" for o in numbers]}]
+            fit = _class_moments([s for s in sums if f"_c_{c}" in s.seen], list(live).index(c), use, len(v))
             scores = []
             for k in range(len(v)):
-                r = fit.get(k + 1)
                 score = F.ln(F.col(f"_e_k_{c}_{k}") + PRIOR * max(shares[c][k], 1e-9))
-                for j, name in enumerate(x):
-                    m = r[f"a{j}"] if r else 0.0
-                    s = max(math.sqrt(max(r[f"b{j}"] - m * m, 0.0)), 1e-3) if r and r["n"] > 1 else 1e3
-                    score = score - F.pow((F.col(name) - m) / s, F.lit(2.0)) / 2 - math.log(s)
+                for j, i in enumerate(use):
+                    m, s = fit[k][j]
+                    score = score - F.pow((F.col(x[i]) - m) / s, F.lit(2.0)) / 2 - math.log(s)
                 draw = -F.ln(-F.ln(_uniform(key, seed, c, k, step)))
                 scores.append(F.struct((score + draw).alias("s"), F.lit(k + 1).alias("k")))
-            rows = rows.withColumn(f"_g_{c}", F.when(F.col(f"_c_{c}").isNotNull(), F.col(f"_c_{c}")).otherwise(F.array_max(F.array(*scores))["k"]))
+            fills[f"_g_{c}"] = F.when(F.col(f"_c_{c}").isNotNull(), F.col(f"_c_{c}")).otherwise(F.array_max(F.array(*scores))["k"])
+        parts = parts.withColumns(fills)
+        if step < iterations - 1:
+            parts = pinned(parts)
+    # The complete rows have nothing to be filled, so what is joined to them for the fits is not needed here.
+    nothing = {f"_v_{c}": y[c] - mean[c] for c in numbers} | {f"_g_{c}": F.col(f"_c_{c}") for c in classes}
+    rest = base.filter(complete).withColumns(nothing)
+    rows = rest.unionByName(parts.select(*rest.columns))
 
     out = [F.col(c) for c in df.columns]
     for c, n in numeric.items():
@@ -169,6 +195,54 @@ def _shares(counts: Sequence[int]) -> list[float]:
     return [n / whole if whole else 1.0 / len(counts) for n in counts]
 
 
+def _pull(groups: DataFrame, numbers: Sequence[str], mean: Mapping[str, float]) -> dict[str, float]:
+    """Variance within groups over variance between them, from (n, s, q) of each group: the weight of the overall mean in rows.
+
+    Both are estimated without bias by moments; the ratio is kept between 1e-3 and 1e6.
+    """
+    each = []
+    for c in numbers:
+        n, s, q = (F.col(f"_{k}_{c}") for k in "nsq")
+        m = F.try_divide(s, n)
+        each += [
+            F.sum(F.greatest(q - m * s, F.lit(0.0))).alias(f"w_{c}"), F.sum(F.greatest(n - 1, F.lit(0))).alias(f"d_{c}"),
+            F.sum(n * F.pow(m - mean[c], F.lit(2.0))).alias(f"b_{c}"), F.count_if(n > 0).alias(f"g_{c}"), F.sum(n).alias(f"n_{c}"), F.sum(n * n).alias(f"nn_{c}"),
+        ]
+    got = groups.agg(*each).first() if each else {}
+    out = {}
+    for c in numbers:
+        w, d, b, g, n, nn = (float(got[f"{k}_{c}"] or 0) for k in ("w", "d", "b", "g", "n", "nn"))
+        within = w / d if d else 0.0
+        spread = n - nn / n if n else 0.0
+        between = max(b - (g - 1) * within, 0.0) / spread if spread > 0 else 0.0
+        out[c] = min(max(within / between, 1e-3), 1e6) if between else 1.0 if not within else 1e6
+    return out
+
+
+@dataclass(frozen=True)
+class Sums:
+    """Sums of products [1, x]' [1, x] of the rows of one combination of classes, and the fields observed in them."""
+
+    seen: frozenset[str]
+    hot: tuple[int, ...]
+    p: np.ndarray
+
+
+def _products(rows: DataFrame, x: Sequence[str], classes: Mapping[str, Sequence[str]], fields: Sequence[str]) -> list[Sums]:
+    """The sums of products by combination of classes and of observed fields, in one aggregation with map-side combine."""
+    seen = [F.col(f).isNotNull().alias(f"has{i}") for i, f in enumerate(fields)]
+    groups = [F.col(f"_g_{g}").alias(f"g{i}") for i, g in enumerate(classes)]
+    cols = [F.lit(1.0), *[F.col(c) for c in x]]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    out = []
+    for r in rows.groupBy(*seen, *groups).agg(*[F.sum(cols[i] * cols[j]).alias(f"p{i}_{j}") for i, j in pairs]).collect():  # one row per combination
+        p = np.zeros((len(cols),) * 2)
+        for i, j in pairs:
+            p[i, j] = p[j, i] = r[f"p{i}_{j}"] or 0.0
+        out.append(Sums(frozenset(f for i, f in enumerate(fields) if r[f"has{i}"]), tuple(r[f"g{i}"] - 1 for i in range(len(groups))), p))
+    return out
+
+
 @dataclass(frozen=True)
 class Regression:
     constant: float
@@ -177,35 +251,24 @@ class Regression:
     spread: float
 
 
-def _moments(rows: DataFrame, group: Column, x: Sequence[str]) -> DataFrame:
-    return rows.groupBy(group.alias("_k")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"a{j}") for j, c in enumerate(x)], *[F.avg(F.col(c) * F.col(c)).alias(f"b{j}") for j, c in enumerate(x)]
-    )
-
-
-def _regress(rows: DataFrame, y: Column, x: Sequence[str], classes: Mapping[str, int]) -> Regression:
-    """Least squares of ``y`` on ``x`` and an effect per class of each class field, from sums of products per class combination."""
-    groups = [F.col(f"_g_{g}").alias(g) for g in classes]
-    cols = [F.lit(1.0), *[F.col(c) for c in x], y]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = rows.groupBy(*groups).agg(*[F.sum(cols[i] * cols[j]).alias(f"p{i}_{j}") for i, j in pairs]).collect()  # one row per class combination
-    width = 1 + len(x)
+def _regress(sums: Sequence[Sums], y: int, x: Sequence[int], classes: Mapping[str, int]) -> Regression:
+    """Least squares of column ``y`` on the columns ``x`` and an effect per class of each class field."""
+    take = [0, *[i + 1 for i in x]]
+    width = len(take)
     start, at = {}, width
     for g, k in classes.items():
         start[g], at = at, at + k
     a, b, yy = np.zeros((at, at)), np.zeros(at), 0.0
-    for r in sums:
-        p = np.zeros((width + 1, width + 1))
-        for i, j in pairs:
-            p[i, j] = p[j, i] = r[f"p{i}_{j}"] or 0.0
-        hot = [start[g] + r[g] - 1 for g in classes if r[g] is not None]
-        a[:width, :width] += p[:width, :width]
-        b[:width] += p[:width, width]
-        yy += p[width, width]
+    for s in sums:
+        p, py = s.p[np.ix_(take, take)], s.p[take, y + 1]
+        hot = [start[g] + k for g, k in zip(classes, s.hot)]
+        a[:width, :width] += p
+        b[:width] += py
+        yy += s.p[y + 1, y + 1]
         for h in hot:
-            a[h, :width] += p[0, :width]
-            a[:width, h] += p[0, :width]
-            b[h] += p[0, width]
+            a[h, :width] += p[0]
+            a[:width, h] += p[0]
+            b[h] += py[0]
             for h2 in hot:
                 a[h, h2] += p[0, 0]
     n = a[0, 0]
@@ -214,3 +277,15 @@ def _regress(rows: DataFrame, y: Column, x: Sequence[str], classes: Mapping[str,
     w = np.linalg.solve(a + np.diag(ridge), b) if n else np.zeros(at)
     spread = math.sqrt(max(yy - 2 * w @ b + w @ a @ w, 0.0) / max(n - width, 1.0))
     return Regression(float(w[0]), [float(v) for v in w[1:width]], {g: [float(v) for v in w[s : s + classes[g]]] for g, s in start.items()}, spread)
+
+
+def _class_moments(sums: Sequence[Sums], field: int, x: Sequence[int], classes: int) -> list[list[tuple[float, float]]]:
+    """Per class mean and deviation of the columns ``x``; where a class has too few rows, ones that rule nothing out."""
+    out = []
+    for k in range(classes):
+        own = [s.p for s in sums if s.hot[field] == k]
+        p = sum(own) if own else np.zeros((max(x, default=0) + 2,) * 2)
+        n = p[0, 0]
+        mean = [p[0, i + 1] / n if n else 0.0 for i in x]
+        out.append([(m, max(math.sqrt(max(p[i + 1, i + 1] / n - m * m, 0.0)), 1e-3) if n > 1 else 1e3) for i, m in zip(x, mean)])
+    return out

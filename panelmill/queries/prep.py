@@ -104,6 +104,16 @@ def p5_completed(spark: SparkSession, path: str) -> DataFrame:
     return _completed(spark, path).select("row_id", "entity", "date", "volume_filled", "volume_was_missing", "sector_filled", "sector_was_missing")
 
 
+def p5_masks(spark: SparkSession, path: str) -> DataFrame:
+    """The masks of every row and what was not filled; whether each filling is a usable value."""
+    rows = _completed(spark, path)
+    kept = lambda c: F.when(~F.col(f"{c}_was_missing"), F.col(f"{c}_filled"))
+    usable = (F.col("volume_filled") > 0) & (F.col("volume_filled") < float("inf")) & F.col("sector_filled").isin(SECTORS)
+    return rows.select(
+        "row_id", "volume_was_missing", "sector_was_missing", F.round(kept("volume"), 2).alias("volume"), kept("sector").alias("sector"), usable.alias("usable")
+    )
+
+
 #: What is possible for the measurements of the panels.
 FIELDS = {
     "marketcap": Field(least=0.0, least_possible=False, log=True, local=True),
@@ -132,7 +142,7 @@ def p6_kinds(spark: SparkSession, path: str) -> DataFrame:
     return _spikes(spark, path).groupBy("field", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_daily_close, p3_interpolated, p4_found, p4_excess_with_cap, p5_found, p5_completed, p6_found, p6_kinds, p7_found, p7_totals)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_daily_close, p3_interpolated, p4_found, p4_excess_with_cap, p5_found, p5_completed, p5_masks, p6_found, p6_kinds, p7_found, p7_totals)}
 
 _GRID3 = """u as (select entity, date, arg_max(close, {'a': read_at, 'b': row_id}) as close from panel_clean
   where close > 0 and isfinite(close) group by 1, 2),
@@ -175,6 +185,9 @@ ORACLES = {
     "p5_found": """select row_id, 'volume' as field from panel_clean where volume is null or not (isfinite(volume) and volume > 0)
 union all select row_id, 'sector' from panel_clean where sector is null or sector not in
   ('settlement', 'lending', 'gaming', 'storage', 'oracle', 'meme', 'privacy', 'bridge')""",
+    "p5_masks": """with m as (select row_id, volume, sector, volume is null or not (isfinite(volume) and volume > 0) as v,
+  sector is null or sector not in ('settlement', 'lending', 'gaming', 'storage', 'oracle', 'meme', 'privacy', 'bridge') as s from panel_clean)
+select row_id, v as volume_was_missing, s as sector_was_missing, round(case when not v then volume end, 2) as volume, case when not s then sector end as sector, true as usable from m""",
     "p6_found": f"with {_SPIKES6} select field, row_id from f",
     "p6_kinds": f"with {_SPIKES6} select field, kind, count(*) as n from f group by 1, 2",
     "p3_found": f"with {_GRID3} select entity, strftime(date, '%Y%m%d')::bigint as date_key from g where not observed",

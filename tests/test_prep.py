@@ -281,6 +281,28 @@ def test_impute_edges(spark):
     assert [r.sector_filled for r in got] == ["s"] * 3 and all(r.volume_filled > 0 for r in got)
 
 
+def test_imputed_levels_of_sparse_entities(spark):
+    """Entities differ much and their readings little: one other reading says nearly all, none leaves the overall level."""
+    rng = np.random.RandomState(6)
+    rows, level, i = [], {}, 0
+    for k in range(120):
+        e, size = f"e{k}", [0, 1, 3, 60][k % 4]
+        level[e] = rng.normal(10, 2)
+        for j in range(size + 4):
+            v = math.exp(level[e] + rng.normal(0, 0.2))
+            rows.append((i, e, day(int(rng.randint(50))), None if j >= size else v, "x", float(rng.rand() + 1), "", ""))
+            i += 1
+    got = impute(spark.createDataFrame(rows, TABLE), "id", "entity", "date", {"volume": Numeric(True)}, {"sector": ["x"]}, {"cap": Numeric(True)}).collect()
+    off = {n: [] for n in (0, 1, 3, 60)}
+    for r in got:
+        if r.volume_was_missing:
+            off[[0, 1, 3, 60][int(r.entity[1:]) % 4]].append(math.log(r.volume_filled) - level[r.entity])
+    for n, most in ((1, 0.6), (3, 0.45), (60, 0.35)):
+        assert abs(np.mean(off[n])) < 0.15 and np.std(off[n]) < most
+    unseen = [math.log(r.volume_filled) for r in got if int(r.entity[1:]) % 4 == 0]
+    assert abs(np.mean(unseen) - np.mean([v for e, v in level.items() if int(e[1:]) % 4])) < 1.5
+
+
 def test_latest_version(spark):
     rows = [("a", 1, 5.0), ("a", None, 6.0), ("a", 2, 7.0), (None, 1, 8.0), (None, 1, 8.0)]
     got = latest_version(spark.createDataFrame(rows, "k string, v int, x double"), ["k"], ["v"]).collect()
