@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.operators.shards import carried, sorted_shards, starts, with_carry
+from panelmill.session import attach, pinned
 
 
 def known_at(
@@ -60,6 +61,59 @@ def known_at(
     return matched
 
 
+def known_before(
+    events: DataFrame,
+    attributes: DataFrame,
+    entity: str,
+    event_time: Column,
+    available_at: Column,
+    event_day: Column,
+    day: Column,
+    newest: Sequence[str],
+    event_cols: Sequence[str],
+    take: Sequence[str],
+) -> DataFrame:
+    """``known_at`` where an attribute row must also be of a day before ``event_day``: both conditions are kept apart.
+
+    Where an event lies within its own day, a row is available from the later of its time and the end of its day, and one
+    pass of ``known_at`` serves. For other events (``event_time`` before or after ``event_day``) the days before
+    ``event_day`` are cut into dyadic blocks, one for each binary digit; ``known_at`` finds the newest row of each (entity,
+    block) and the newest of these counts. For that the rows of those events' entities are repeated once a digit of the
+    span of days. No such event, no such pass.
+
+    ``newest`` must begin with the day. Events without a day or a time know nothing, rows without a day or an availability
+    don't count.
+    """
+    utc = lambda d: F.timestamp_seconds((F.unix_date(d).cast("long")) * 86_400)  # noqa: E731  midnight in UTC, whatever the session's time zone
+    rows = attributes.withColumns({"_day": F.unix_date(day.cast("date")), "_since": available_at.cast("timestamp")}).filter("_day is not null and _since is not null")
+    events = events.withColumns({"_time": event_time.cast("timestamp"), "_before": F.unix_date(event_day.cast("date"))})
+    own = F.floor(F.unix_seconds("_time") / 86_400) == F.col("_before")
+    within_day = events.filter(F.coalesce(own, F.lit(True)))
+    over = F.greatest(F.col("_since"), utc(F.date_add(F.date_from_unix_date("_day"), 1)))
+    time = F.when(F.col("_before").isNotNull(), F.col("_time"))
+    found = known_at(within_day, rows, entity, time, over, newest, event_cols, take)
+
+    others = events.filter(~F.coalesce(own, F.lit(True)))
+    if others.isEmpty():
+        return found
+    others = pinned(others.select(F.monotonically_increasing_id().alias("_id"), F.col(entity).alias("_entity"), "_time", "_before", F.struct(*event_cols).alias("_ev")))
+    whose = others.select("_entity").distinct()
+    near = attach(rows.withColumn("_entity", F.col(entity)), whose, ["_entity"], "left_semi")
+    low, high = near.agg(F.min("_day"), F.max("_day")).first()
+    low, digits = low or 0, max(1, ((high or 0) - (low or 0) + 1).bit_length())
+    block = lambda level, at: F.to_json(F.struct(F.col("_entity"), F.lit(level).alias("level"), at.alias("block")))
+    offset = F.col("_day") - low
+    parts = near.withColumn("_block", F.explode(F.array(*[block(n, F.shiftright(offset, n)) for n in range(digits)])))
+    upto = F.least(F.greatest(F.col("_before") - low, F.lit(0)), F.lit((1 << digits) - 1))
+    blocks = F.array_compact(F.array(*[F.when(F.shiftright(upto, n) % 2 == 1, block(n, F.shiftright(upto, n) - 1)) for n in range(digits)]))
+    asked = others.select("_id", "_time", F.explode(blocks).alias("_block"))
+    got = known_at(asked, parts.withColumn("_by", F.struct(*newest)), "_block", F.col("_time"), F.col("_since"), newest, ["_id"], ["_by", *[c for c in take if c != "_by"]])
+    best = got.filter("known is not null").groupBy("_id").agg(F.max_by("known", F.col("known._by")).alias("_best"))
+    joined = others.join(best.withColumnRenamed("_id", "_key"), F.col("_id") == F.col("_key"), "left")
+    known = F.when(F.col("_best").isNotNull(), F.struct(*[F.col("_best")[c].alias(c) for c in take]))
+    return found.unionByName(joined.select("_ev.*", known.alias("known")))
+
+
 def _carry_forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     state: tuple[object, pa.Scalar] | None = None  # entity and best row so far
     first = True

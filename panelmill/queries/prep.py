@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.operators.asof import known_at
+from panelmill.operators.asof import known_before
 from panelmill.operators.impute import Numeric, impute
 from panelmill.operators.regular import regular_grid
 from panelmill.operators.spikes import Field, spikes
@@ -41,15 +41,13 @@ def _known(spark: SparkSession, path: str, take: list[str]) -> DataFrame:
     obs = table(spark, path, "estimation_panel").withColumnRenamed("entity", "entity_id")
     obs = attach(obs, names, ["entity_id"], "inner").withColumnRenamed("name", "entity")
     rows = table(spark, path, "characteristics").filter("marketcap is not null and not isnan(marketcap)")
-    # A row serves observations of later dates only, so it isn't available before its own date is over.
-    over = F.timestamp_seconds((F.unix_date("date").cast("long") + 1) * 86_400)  # midnight UTC, whatever the session's time zone
-    since = F.greatest(F.col("known_at"), over)
-    return known_at(obs, rows, "entity", F.col("as_of"), since, ["date", "known_at", "row_id"], ["obs_id", "date", "ret_excess"], take)
+    return known_before(
+        obs, rows, "entity", F.col("as_of"), F.col("known_at"), F.col("date"), F.col("date"), ["date", "known_at", "row_id"], ["obs_id", "ret_excess"], take
+    )
 
 
 def p4_found(spark: SparkSession, path: str) -> DataFrame:
-    known = _known(spark, path, ["row_id", "date"]).filter("known is not null")
-    return known.filter("known.date < date").select("obs_id", F.col("known.row_id").alias("row_id"))
+    return _known(spark, path, ["row_id"]).filter("known is not null").select("obs_id", F.col("known.row_id").alias("row_id"))
 
 
 def p4_excess_with_cap(spark: SparkSession, path: str) -> DataFrame:

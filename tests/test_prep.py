@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.operators.asof import known_at
+from panelmill.operators.asof import known_at, known_before
 from panelmill.operators.impute import Numeric, impute
 from panelmill.operators.regular import regular_grid
 from panelmill.operators.spikes import Field, chart, rolling_median, spikes, stuck_runs
@@ -106,6 +106,37 @@ def test_known_edges(spark):
     assert known(spark, [], attrs) == []
 
 
+def test_known_before_against_brute_force(spark):
+    """Events at, before and after their own day; rows known late, revised, without a time or a day."""
+    rng = random.Random(9)
+    names = ["hot"] * 6 + ["b", None]
+    rows = []
+    for i in range(1200):
+        d = rng.randint(-30, 400)
+        known = None if rng.random() < 0.03 else at(24 * d + rng.choice([5, 30, 24 * 40, 24 * 300, -50]))
+        rows.append((i, rng.choice(names), None if rng.random() < 0.03 else day(d), known))
+    events = []
+    for i in range(900):
+        d = rng.randint(-20, 400)
+        time = None if rng.random() < 0.03 else at(24 * d + rng.choice([0, 7, 7, 24, 100, 24 * 90, -10, -24 * 50]))
+        events.append((i % 850, rng.choice(names), None if rng.random() < 0.03 else day(d), time, "x"))
+    e = spark.createDataFrame(events, "id long, entity string, date date, as_of timestamp, known string")
+    a = spark.createDataFrame(rows, "id long, entity string, date date, known_at timestamp")
+
+    def run(e, a):
+        out = known_before(e, a, "entity", F.col("as_of"), F.col("known_at"), F.col("date"), F.col("date"), ["date", "known_at", "id"], ["id", "date"], ["id", "date"])
+        return sorted(((r.id, r.date, r.known and r.known.id) for r in out.collect()), key=str)
+
+    want = []
+    for i, n, d, t, _ in events:
+        have = [(r[2], r[3], r[0]) for r in rows if r[1] == n and None not in (d, t, r[2], r[3]) and r[2] < d and r[3] <= t]
+        want.append((i, d, max(have)[2] if have else None))
+    assert run(e, a) == sorted(want, key=str)
+    on_day = e.filter("date(as_of) = date")
+    assert run(on_day, a) == sorted((w for w, v in zip(want, events) if v[2] and v[3] and v[3].date() == v[2]), key=str)
+    assert run(e.limit(0), a) == [] and all(k is None for *_, k in run(e, a.limit(0)))
+
+
 def test_binary_parts():
     for n in range(1, 70):
         parts = binary_parts(n)
