@@ -14,6 +14,7 @@ from panelmill.sources.panel import panel, risk_free
 from panelmill.streaming.bars import daily_bars
 
 QUERIES, ORACLES = {}, {}
+DOCUMENT_ROWS = 1000  # rows in a JSON document
 
 
 def query(sql: str | None = None):
@@ -32,11 +33,15 @@ def entity_json(spark: SparkSession, path: str) -> DataFrame:
     rows = table(spark, path, "entities").select(
         "symbol", "name", "shortname", "market_cap_rank", F.unix_seconds(F.col("trading_since").cast("timestamp")).alias("trading_since"), "last_market_cap_usd"
     )
-    docs = rows.groupBy(F.pmod(F.hash("symbol"), F.lit(8)).alias("g")).agg(F.collect_list(F.struct(*rows.columns)).alias("data")).select("data")
+    # About as many rows to a document whatever the table's size; copies of a row are spread too.
+    documents = max(1, -(-rows.count() // DOCUMENT_ROWS))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(documents))
+    docs = rows.groupBy(place.alias("g")).agg(F.collect_list(F.struct(*rows.columns)).alias("data")).select("data")
     at = files.scratch(spark)
     docs.write.json(at)
     rank = F.coalesce("market_cap_rank", F.lit(-1))
-    return files.entity_list(spark, at).withColumns({"last_market_cap_usd": F.round("last_market_cap_usd", 2), "market_cap_rank": rank})
+    got = files.entity_list(spark, at).withColumns({"last_market_cap_usd": F.round("last_market_cap_usd", 2), "market_cap_rank": rank})
+    return files.taken(got, at)
 
 
 @query(f"""with {PANEL} select date, entity, {', '.join(qsci(c, c) for c in ('open', 'close', 'high', 'low', 'volume', 'marketcap'))} from use""")
@@ -51,15 +56,15 @@ def history_json(spark: SparkSession, path: str) -> DataFrame:
     # One document per entity and month: bounded whatever the entity.
     docs = raw.groupBy("entity", F.trunc("date", "month").alias("m")).agg(F.collect_list(row).alias("data")).select("entity", "data")
     docs.repartition("entity").write.partitionBy("entity").json(at)
-    return files.histories(spark, at).select("date", "entity", *[sci(c) for c in ("open", "close", "high", "low", "volume", "marketcap")])
+    return files.taken(files.histories(spark, at), at).select("date", "entity", *[sci(c) for c in ("open", "close", "high", "low", "volume", "marketcap")])
 
 
-@query("""select distinct shortname as entity from entities where shortname is not null and market_cap_rank > 50""")
+@query("""select distinct shortname as entity from entities where shortname is not null""")
 def names_text(spark: SparkSession, path: str) -> DataFrame:
     """A list of names written as text lines, possibly repeated, and read back as a distinct list."""
     at = files.scratch(spark)
-    files.write_names(table(spark, path, "entities").filter("market_cap_rank > 50"), at)
-    return files.names(spark, at)
+    files.write_names(table(spark, path, "entities"), at)
+    return files.taken(files.names(spark, at), at)
 
 
 @query("select date, max(rate_pct) as rate_pct from risk_free group by 1")
@@ -67,7 +72,7 @@ def rates_csv(spark: SparkSession, path: str) -> DataFrame:
     """The yields written as CSV and read back with a schema; nulls survive."""
     at = files.scratch(spark)
     files.write_csv(risk_free(spark, path), at)
-    return files.csv(spark, at, "date date, rate_pct double")
+    return files.taken(files.csv(spark, at, "date date, rate_pct double"), at)
 
 
 @query(f"""with {PANEL} select year(date)::int * 100 + month(date)::int as k, entity, count(*) as n from use group by 1, 2""")
@@ -76,7 +81,7 @@ def keyed_files(spark: SparkSession, path: str) -> DataFrame:
     counts = usable(spark, path).groupBy((F.year("date") * 100 + F.month("date")).alias("k"), "entity").agg(F.count(F.lit(1)).alias("n"))
     at = files.scratch(spark)
     counts.withColumn("part", F.concat_ws("_", "k", F.lit("counts"))).drop("k").write.partitionBy("part").csv(at, header=True)
-    return files.keyed_csv(spark, f"{at}/part=*/", "entity string, n long", r"part=(\d+)_").select("k", "entity", "n")
+    return files.taken(files.keyed_csv(spark, f"{at}/part=*/", "entity string, n long", r"part=(\d+)_").select("k", "entity", "n"), at)
 
 
 @query("""select date, 'clean' as source, count(*) as n, null::varchar as marketcap from panel_clean group by 1
@@ -98,15 +103,16 @@ def epoch_dates(spark: SparkSession, path: str) -> DataFrame:
 
 
 @query(f"""with {PANEL} select entity, strftime(date, '%Y%m%d')::int as date_key, 'https://example.org/' || entity || '/' || strftime(date, '%Y-%m-%d') as url,
-  split_part(entity, '-', 1) as stem, printf('%.2f', close / open * 100 - 100) || '%' as change, sign(close - open)::int as side from use where open is not null and abs((close / open * 100 - 100) * 1000 % 10 - 5) > 1e-6""")
+  split_part(entity, '-', 1) as stem, case when open is not null then round(round(close / open * 100 - 100, 6)::decimal(30, 6), 2)::varchar || '%' end as change, sign(close - open)::int as side from use""")
 def scalar_functions(spark: SparkSession, path: str) -> DataFrame:
     """Date keys, formatted strings, splits, percentages and signs."""
-    change = F.col("close") / F.col("open") * 100 - 100
-    rows = usable(spark, path).filter("open is not null").filter(F.abs(change * 1000 % 10 - 5) > 1e-6)
+    # Rounded as decimals, so that it is the same number everywhere that gets two places.
+    change = F.round(F.round(F.col("close") / F.col("open") * 100 - 100, 6).cast("decimal(30,6)"), 2)
+    rows = usable(spark, path)
     return rows.select(
         "entity", F.date_format("date", "yyyyMMdd").cast("int").alias("date_key"),
         F.format_string("https://example.org/%s/%s", "entity", F.date_format("date", "yyyy-MM-dd")).alias("url"),
-        F.split("entity", "-")[0].alias("stem"), F.concat(F.format_string("%.2f", change), F.lit("%")).alias("change"),
+        F.split("entity", "-")[0].alias("stem"), F.concat(change.cast("string"), F.lit("%")).alias("change"),
         F.signum(F.col("close") - F.col("open")).cast("int").alias("side"),
     )
 

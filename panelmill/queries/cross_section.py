@@ -141,41 +141,58 @@ _ALL = f"""with {EXCESS}, {_legs('ret', 'marketcap', '1')}, f1 as ({_factor(1, 5
 {_lagged('abs(ret) / (volume / 1e6)', 'ret', 'sl2')}, {_legs('sl2', 'ls', '2')}, f2 as ({_factor(5, 1, 'liq', '2')}),
 {YZ_STEPS}, vl as (select *, {_yz(30)} as rvol from lag), {_lagged('rvol', 'vl', 'sl3')}, {_legs('sl3', 'ls', '3')}, f3 as ({_factor(5, 1, 'vol', '3')}), {_MOM}
 select date, {qnum('cmkt', 'cmkt')}, smb, {qnum('cmom', 'cmom')}, liq, vol from (select date, mktret - rf as cmkt from mkt) join f1 using (date)
-join mf using (date) join f2 using (date) join f3 using (date) where date >= '2025-03-15'"""
+join mf using (date) join f2 using (date) join f3 using (date)"""
 
 
 @query(_ALL)
 def factor_table(spark: SparkSession, path: str) -> DataFrame:
-    """The last months only, as its SQL has them; ``factor_history`` has all dates."""
-    return factor_frame(spark, path, "2025-03-15").select("date", *[num(c) for c in ("cmkt", "smb", "cmom", "liq", "vol")])
+    """The factors of all dates that have all five."""
+    return factor_frame(spark, path).select("date", *[num(c) for c in ("cmkt", "smb", "cmom", "liq", "vol")])
 
 
-@query(_ALL.replace("2025-03-15", FIRST))
+@query(f"{_ALL} where date >= '{FIRST}'")
 def factor_history(spark: SparkSession, path: str) -> DataFrame:
-    """The factors of all dates from the reference's floor on."""
+    """Those from the reference's floor on."""
     return factor_frame(spark, path, FIRST).select("date", *[num(c) for c in ("cmkt", "smb", "cmom", "liq", "vol")])
 
 
-@query("""with m as (select strftime(date, '%Y%m')::bigint as month_key, sector, avg(ret) as r from panel_clean where isfinite(ret) group by 1, 2)
-select month_key, round(max(case when sector = 'meme' then r end), 8) + 0.0 as s_meme, round(max(case when sector = 'oracle' then r end), 8) + 0.0 as s_oracle from m group by 1""")
+# The sectors of the panel.
+SECTORS = ["settlement", "lending", "gaming", "storage", "oracle", "meme", "privacy", "bridge"]
+
+
+@query(f"""with m as (select strftime(date, '%Y%m')::bigint as month_key, sector, avg(ret) as r from panel_clean where isfinite(ret) group by 1, 2)
+select month_key, {', '.join(f"round(max(case when sector = '{c}' then r end), 8) + 0.0 as s_{c}" for c in SECTORS)} from m group by 1""")
 def pivot_mean(spark: SparkSession, path: str) -> DataFrame:
     """Mean delivered return by month, one column per sector."""
     rows = spark.read.parquet(f"{path}/panel_clean.parquet").filter("ret is not null and not isnan(ret) and abs(ret) < double('infinity')")
     rows = rows.select(F.date_format("date", "yyyyMM").cast("long").alias("month_key"), "sector", "ret")
-    out = cs.wide_by(rows, "month_key", "sector", ["meme", "oracle"], "ret", "s_")
-    return out.select("month_key", num("s_meme"), num("s_oracle"))
+    out = cs.wide_by(rows, "month_key", "sector", SECTORS, "ret", "s_")
+    return out.select("month_key", *[num(f"s_{c}") for c in SECTORS])
+
+
+def p_sql(r: str, n: str) -> str:
+    t = f"abs({r}) * sqrt(({n} - 2) / (1 - {r} * {r}))"
+    return f"case when {n} > 2 and abs({r}) < 1 then 2.0 / (exp(0.07056 * pow({t}, 3) + 1.5976 * {t}) + 1) when {n} > 2 and {r} is not null then 0.0 end"
+
+
+SCORE = "case when {p} < 0.01 then 3 when {p} < 0.05 then 2 when {p} < 0.1 then 1 else 0 end"
+
+
+def correlation_rows(df: DataFrame) -> DataFrame:
+    """(characteristic, r, n): correlation of each characteristic with the return."""
+    pairs = [(F.col(c).isNotNull() & F.col("ret_excess").isNotNull()) for c in CHARS]
+    got = df.agg(*[F.corr(c, "ret_excess").alias(f"r_{c}") for c in CHARS], *[F.count_if(ok).alias(f"n_{c}") for c, ok in zip(CHARS, pairs)])
+    each = [F.struct(F.lit(c).alias("characteristic"), F.col(f"r_{c}").alias("r"), F.col(f"n_{c}").alias("n")) for c in CHARS]
+    return got.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
-_P = "case when abs(t) > 0.06 then 0.005 when abs(t) > 0.03 then 0.03 when abs(t) > 0.015 then 0.07 else 0.5 end"
+CORR = " union all ".join(f"select '{c}' as characteristic, corr({c}, ret_excess) as r, count(*) filter ({c} is not null and ret_excess is not null) as n from {{0}}" for c in CHARS)
 
 
-@query(f"""with c as ({' union all '.join(f"select '{c}' as characteristic, corr({c}, ret_excess) as t from estimation_panel" for c in CHARS)})
-select characteristic, case when p < 0.01 then 3 when p < 0.05 then 2 when p < 0.1 then 1 else 0 end as score, coalesce(place, 0)::bigint as place
-from (select *, {_P} as p, list_position(['beta', 'mcap', 'illiq'], characteristic) as place from c)""")
+@query(f"""with c as ({CORR.format('estimation_panel')}), p as (select characteristic, {p_sql('r', 'n')} as p from c)
+select characteristic, {qnum('p', 'p', 7)}, {SCORE.format(p='p')} as score, coalesce(list_position(['beta', 'mcap', 'illiq'], characteristic), 0)::bigint as place from p""")
 def significance_scores(spark: SparkSession, path: str) -> DataFrame:
-    """A score per characteristic from banded p-values, with its place in a given order."""
-    r = estimation_panel(spark, path).agg(*[F.corr(c, "ret_excess").alias(c) for c in CHARS])
-    rows = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("characteristic"), F.col(c).alias("t")) for c in CHARS])).alias("x")).select("x.*")
-    p = F.when(F.abs("t") > 0.06, 0.005).when(F.abs("t") > 0.03, 0.03).when(F.abs("t") > 0.015, 0.07).otherwise(0.5)
-    rows = cs.order_by_list(rows.withColumn("score", cs.significance(p)), "characteristic", ["beta", "mcap", "illiq"])
-    return rows.select("characteristic", "score", F.coalesce("place", F.lit(0)).cast("long").alias("place"))
+    """A score per characteristic from the p-value of its correlation with the return, and its place in a given order."""
+    rows = correlation_rows(estimation_panel(spark, path)).withColumn("p", cs.correlation_p(F.col("r"), F.col("n")))
+    rows = cs.order_by_list(rows.withColumn("score", cs.significance(F.col("p"))), "characteristic", ["beta", "mcap", "illiq"])
+    return rows.select("characteristic", num("p", 7), "score", F.coalesce("place", F.lit(0)).cast("long").alias("place"))

@@ -48,11 +48,15 @@ def vm_ratio_filter(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("entity", "date", num("ratio"))
 
 
+#: An entity whose cap others do exceed.
+SECOND = "brinzelo"
+
+
 @query(f"""with {PANEL} select u.entity, u.date, {qsci('u.marketcap', 'marketcap')} from use u
-left join (select date, marketcap as cap from use where entity = '{BENCHMARK}') b using (date)
-where u.entity = '{BENCHMARK}' or cap is null or u.marketcap <= cap""")
+left join (select date, marketcap as cap from use where entity = '{SECOND}') b using (date)
+where u.entity = '{SECOND}' or cap is null or u.marketcap <= cap""")
 def benchmark_cap_filter(spark: SparkSession, path: str) -> DataFrame:
-    return clean.benchmark_filter(usable(spark, path), BENCHMARK).select("entity", "date", sci("marketcap"))
+    return clean.benchmark_filter(usable(spark, path), SECOND).select("entity", "date", sci("marketcap"))
 
 
 @query(f"""with {PANEL} select entity, date from use where entity not in (select shortname from entities where name ilike '% token' and shortname is not null)""")
@@ -80,19 +84,18 @@ def min_obs_filter(spark: SparkSession, path: str) -> DataFrame:
     return clean.min_observations(usable(spark, path), 90).select("entity", "date")
 
 
-@query(f"""with {PANEL}, e as (select entity, date from use where date between '2025-02-15' and '2025-07-15'
+@query(f"""with {PANEL}, e as (select entity, date from use where date between '{FIRST}' and '{LAST}'
 qualify count(*) over (partition by entity) >= 60) select entity, date from e qualify count(*) over (partition by date) >= 30""")
 def min_cross_section(spark: SparkSession, path: str) -> DataFrame:
     """Date range, then entities with enough rows, then dates with enough of these; entities aren't counted again."""
-    rows = usable(spark, path).filter(F.col("date").between("2025-02-15", "2025-07-15"))
+    rows = usable(spark, path).filter(F.col("date").between(FIRST, LAST))
     return clean.min_cross_section(clean.min_observations(rows, 60), 30).select("entity", "date")
 
 
-@query(f"""with {PANEL}, e as (select entity, date from use where date between '{FIRST}' and '{LAST}'
-qualify count(*) over (partition by entity) >= 60) select entity, date from e qualify count(*) over (partition by date) >= 30""")
+@query(ORACLES["min_cross_section"].replace("date from use where", "date, marketcap from use where marketcap >= 1e6 and"))
 def min_cross_section_history(spark: SparkSession, path: str) -> DataFrame:
-    """``min_cross_section`` over the reference's range of dates."""
-    rows = usable(spark, path).filter(F.col("date").between(FIRST, LAST))
+    """The same after the floor on size."""
+    rows = clean.size_floor(usable(spark, path), 1e6).filter(F.col("date").between(FIRST, LAST))
     return clean.min_cross_section(clean.min_observations(rows, 60), 30).select("entity", "date")
 
 

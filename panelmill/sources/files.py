@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.session import ensure_checkpoint_dir
+from panelmill.session import ensure_checkpoint_dir, pinned
 
 # The fields of the landed JSON documents.
 ENTITY_FIELDS = "symbol string, name string, shortname string, market_cap_rank int, trading_since long, last_market_cap_usd double"
@@ -102,3 +102,12 @@ def scratch(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+
+
+def taken(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df``, pinned, after which the folder ``path`` they were read from is deleted."""
+    spark = df.sparkSession
+    rows = pinned(df)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return rows
