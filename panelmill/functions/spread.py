@@ -2,59 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions.frames import along, complete, frame
 
 
+#: The two estimates as sums of products: each is a sum of coefficient x term, the coefficients the same for the whole frame.
+TERMS = {"a": ("u1", "u2", "u3", "u4"), "b": ("w1", "w2", "w3", "u4")}
+
+
 def edge_frame(df: DataFrame, n: int) -> DataFrame:
     """Add ``bidask`` from the log prices _o, _h, _l, _c, which are dropped. Rows with a missing price don't count.
 
     Of the n rows the first only lends its prices to the second. Null if fewer than two rows moved or the prices never
     differ from the extremes.
+
+    Everything follows from means of products over the frame: the estimates of a row are linear in four products of its log
+    price differences, so their means and variances over the frame need the means of these and of their products only.
     """
     c = F.col
     df = df.withColumns({f"_{k}1": F.lag(f"_{k}").over(along()) for k in "hlc"})
     mid, mid1 = (c("_h") + c("_l")) / 2, (c("_h1") + c("_l1")) / 2
-    moved = F.when((c("_h") != c("_l")) | (c("_l") != c("_c1")), 1.0).otherwise(0.0)
-    flag = lambda cond: F.when(cond, 1.0).otherwise(0.0)
-    terms = F.struct(
-        (mid - c("_o")).alias("r1"), (c("_o") - mid1).alias("r2"), (mid - c("_c1")).alias("r3"), (c("_c1") - mid1).alias("r4"),
-        (c("_o") - c("_c1")).alias("r5"), moved.alias("t"), (moved * flag(c("_o") != c("_h"))).alias("oh"), (moved * flag(c("_o") != c("_l"))).alias("ol"),
-        (moved * flag(c("_c1") != c("_h1"))).alias("ch"), (moved * flag(c("_c1") != c("_l1"))).alias("cl"),
-    )
     full = (c("_o") + c("_h") + c("_l") + c("_c") + c("_h1") + c("_l1") + c("_c1")).isNotNull()
-    df = df.withColumn("_x", F.when(full, terms)).withColumn("_rows", complete(n, F.collect_list("_x").over(frame(n - 2))))
-
-    def field(k: str):
-        return lambda v: v[k]
-
-    def mean(f, rows: str = "_rows") -> Column:
-        return F.try_divide(F.aggregate(F.transform(rows, f), F.lit(0.0), lambda a, v: a + v), F.size(rows))
-
-    def square_of(k: str, centre: str):
-        return lambda v: (v[k] - c(centre)) * (v[k] - c(centre))
+    flag = lambda cond: F.when(full, F.when(cond, 1.0).otherwise(0.0))
+    moved = (c("_h") != c("_l")) | (c("_l") != c("_c1"))
+    r = {"r1": mid - c("_o"), "r2": c("_o") - mid1, "r3": mid - c("_c1"), "r4": c("_c1") - mid1, "r5": c("_o") - c("_c1")}
+    df = df.withColumns({f"_{k}": F.when(full, v) for k, v in r.items()} | {"_t": flag(moved)})
+    ends = {"oh": ("_o", "_h"), "ol": ("_o", "_l"), "ch": ("_c1", "_h1"), "cl": ("_c1", "_l1")}
+    products = {
+        "u1": c("_r1") * c("_r2"), "u2": c("_t") * c("_r2"), "u3": c("_r3") * c("_r4"), "u4": c("_t") * c("_r4"),
+        "w1": c("_r1") * c("_r5"), "w2": c("_t") * c("_r5"), "w3": c("_r5") * c("_r4"),
+    }
+    df = df.withColumns({f"_{k}": flag(moved & (c(x) != c(y))) for k, (x, y) in ends.items()} | {f"_{k}": v for k, v in products.items()})
+    pairs = sorted({(p, q) for terms in TERMS.values() for i, p in enumerate(terms) for q in terms[i:]})
+    w = frame(n - 2)
+    means = {f"_m_{k}": F.avg(f"_{k}").over(w) for k in ("r1", "r3", "r5", "t", *ends, *products)}
+    df = df.withColumns(means | {f"_m_{p}{q}": F.avg(c(f"_{p}") * c(f"_{q}")).over(w) for p, q in pairs} | {"_n": F.sum("_t").over(w)})
 
-    df = df.withColumn(
-        "_m",
-        F.struct(
-            *[mean(field(k)).alias(k) for k in ("r1", "r3", "r5", "t")],
-            (mean(field("oh")) + mean(field("ol"))).alias("po"), (mean(field("ch")) + mean(field("cl"))).alias("pc"),
-            F.aggregate(F.transform("_rows", field("t")), F.lit(0.0), lambda a, v: a + v).alias("n"),
-        ),
+    m = lambda k: c(f"_m_{k}")
+    over = lambda x, y: F.try_divide(F.lit(-4.0), m(x) + m(y))
+    lean = lambda k: -F.try_divide(m(k), m("t"))
+    df = df.withColumns({"_po": over("oh", "ol"), "_pc": over("ch", "cl")})
+    weights = {
+        "a": (c("_po"), c("_po") * lean("r1"), c("_pc"), c("_pc") * lean("r3")),
+        "b": (c("_po"), c("_po") * lean("r1"), c("_pc"), c("_pc") * lean("r5")),
+    }
+    both = {}
+    for k, terms in TERMS.items():
+        both[f"_e{k}"] = sum((x * m(p) for x, p in zip(weights[k], terms)), F.lit(0.0))
+        squares = F.lit(0.0)
+        for i, (x, p) in enumerate(zip(weights[k], terms)):
+            for j, (y, q) in enumerate(zip(weights[k], terms)):
+                if i <= j:
+                    squares = squares + (1 if i == j else 2) * x * y * m(f"{p}{q}" if (p, q) in pairs else f"{q}{p}")
+        both[f"_q{k}"] = squares
+    df = df.withColumns(both)
+    df = df.withColumns({f"_v{k}": F.greatest(c(f"_q{k}") - c(f"_e{k}") * c(f"_e{k}"), F.lit(0.0)) for k in TERMS})
+    total = c("_va") + c("_vb")
+    square = F.when(total > 0, F.try_divide(c("_vb") * c("_ea") + c("_va") * c("_eb"), total)).otherwise((c("_ea") + c("_eb")) / 2)
+    ok = (c("_n") >= 2) & c("_po").isNotNull() & c("_pc").isNotNull()
+    df = df.withColumn("bidask", complete(n, F.when(ok, F.sqrt(F.abs(square)))))
+    return df.drop(
+        "_o", "_h", "_l", "_c", "_h1", "_l1", "_c1", "_t", "_n", "_po", "_pc", *[f"_{k}" for k in (*r, *ends, *products)],
+        *means, *[f"_m_{p}{q}" for p, q in pairs], *[f"_{x}{k}" for x in "eqv" for k in TERMS],
     )
-    m = lambda k: c(f"_m.{k}")
-    lean = lambda v, k: v[k] - v["t"] * F.try_divide(m(k), m("t"))
-
-    def pair(v: Column, late: str, other: str) -> Column:
-        return F.try_divide(F.lit(-4.0), m("po")) * lean(v, "r1") * v["r5" if late == "r5" else "r2"] + F.try_divide(F.lit(-4.0), m("pc")) * lean(v, other) * v["r4"]
-
-    df = df.withColumn("_xs", F.transform("_rows", lambda v: F.struct(pair(v, "r2", "r3").alias("a"), pair(v, "r5", "r5").alias("b"))))
-    df = df.withColumns({"_e1": mean(field("a"), "_xs"), "_e2": mean(field("b"), "_xs")})
-    df = df.withColumns({"_v1": mean(square_of("a", "_e1"), "_xs"), "_v2": mean(square_of("b", "_e2"), "_xs")})
-    both = c("_v1") + c("_v2")
-    square = F.when(both > 0, F.try_divide(c("_v2") * c("_e1") + c("_v1") * c("_e2"), both)).otherwise((c("_e1") + c("_e2")) / 2)
-    ok = (m("n") >= 2) & (m("po") > 0) & (m("pc") > 0)
-    df = df.withColumn("bidask", F.when(ok, F.sqrt(F.abs(square))))
-    return df.drop("_o", "_h", "_l", "_c", "_h1", "_l1", "_c1", "_x", "_rows", "_m", "_xs", "_e1", "_e2", "_v1", "_v2")

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from panelmill.operators import characteristics as ch
 from panelmill.queries.base import EXCESS, RETURNS, excess, num, over, qnum, qsci, returns, sci, skip, strict
 
 QUERIES, ORACLES = {}, {}
+#: By query, how each of its columns is shown.
+SHOWN = {}
 AVG, SD, MAX, MIN = "avg({x}) {w}", "stddev_samp({x}) {w}", "max({x}) {w}", "min({x}) {w}"
 PROD = "product(1 + {x}) {w} - 1"
 
 
+def shown(name: str) -> list[Column]:
+    return [sci(c) if places is None else num(c, places) for c, places in SHOWN[name]]
+
+
 def ln(x: str) -> str:
     return f"case when ({x}) > 0 then ln({x}) end"
 
@@ -19,11 +25,13 @@ def ln(x: str) -> str:
 def add(name: str, groups: list[str], columns: dict[str, str], base: str = RETURNS, start=returns, wide: tuple[str, ...] = (), doc: str = "", places: int = 8) -> None:
     """Register a query that builds groups of characteristics and shows some columns; ``columns`` has the SQL of each."""
 
+    SHOWN[name] = [(c, None if c in wide else places) for c in columns]
+
     def run(spark: SparkSession, path: str) -> DataFrame:
         df = start(spark, path)
         for g in groups:
             df = ch.GROUPS[g](df)
-        return df.select("entity", "date", *[sci(c) if c in wide else num(c, places) for c in columns])
+        return df.select("entity", "date", *shown(name))
 
     run.__name__, run.__doc__ = name, doc
     QUERIES[name] = run
@@ -128,4 +136,27 @@ add("skew", ["distribution"], {f"skew_{n}d": strict(_M, "ret", n) for n in (7, 3
 _K = "kurtosis_pop({x}) {w}"
 add("kurt", ["distribution"], {f"kurt_{n}d": strict(_K, "ret", n) for n in (7, 30)}, places=4)
 add("max_min_ret", ["distribution"], {f"{m}ret_{n}d": strict(a, "ret", n) for n in (7, 30) for m, a in (("max", MAX), ("min", MIN))})
-add("edge_spread", ["bid_ask"], {"bidask": ""}, doc="EDGE bid-ask spread over 30 rows; checked against numpy.")
+
+
+def _edge(n: int = 30) -> str:
+    """The estimator written out row by row in lists, as it is published."""
+    w = over(n - 2)
+    mean = lambda x: f"list_avg(list_transform(rows, lambda v: {x}))"
+    a = "-4 / po * (v.r1 - v.t * m1 / mt) * v.r2 - 4 / pc * (v.r3 - v.t * m3 / mt) * v.r4"
+    b = "-4 / po * (v.r1 - v.t * m1 / mt) * v.r5 - 4 / pc * (v.r5 - v.t * m5 / mt) * v.r4"
+    return f"""lag0 as (select entity, date, rn, ln(open) as o, ln(high) as h, ln(low) as l, ln(close) as c, ln(lag(high) over k) as h1, ln(lag(low) over k) as l1,
+  ln(lag(close) over k) as c1 from ret window k as (partition by entity order by date)),
+lag1 as (select *, (h + l) / 2 as mid, (h1 + l1) / 2 as mid1, case when h <> l or l <> c1 then 1.0 else 0.0 end as t from lag0),
+lag2 as (select *, case when o + h + l + c + h1 + l1 + c1 is not null then {{'r1': mid - o, 'r2': o - mid1, 'r3': mid - c1, 'r4': c1 - mid1, 'r5': o - c1, 't': t::double,
+  'oh': t::double * (o <> h)::int, 'ol': t::double * (o <> l)::int, 'ch': t::double * (c1 <> h1)::int, 'cl': t::double * (c1 <> l1)::int}} end as x from lag1),
+lag3 as (select entity, date, rn, list_filter(list(x) {w}, lambda v: v is not null) as rows from lag2),
+lag4 as (select *, {mean('v.r1')} as m1, {mean('v.r3')} as m3, {mean('v.r5')} as m5, {mean('v.t')} as mt, {mean('v.oh')} + {mean('v.ol')} as po, {mean('v.ch')} + {mean('v.cl')} as pc,
+  list_sum(list_transform(rows, lambda v: v.t)) as n from lag3),
+lag5 as (select *, list_transform(rows, lambda v: {a}) as xa, list_transform(rows, lambda v: {b}) as xb from lag4 where rn >= {n} and n >= 2 and po > 0 and pc > 0),
+lag6 as (select *, list_avg(xa) as ea, list_avg(xb) as eb, list_var_pop(xa) as va, list_var_pop(xb) as vb from lag5),
+lag7 as (select entity, date, sqrt(abs(case when va + vb > 0 then (vb * ea + va * eb) / (va + vb) else (ea + eb) / 2 end)) as bidask from lag6),
+lag as (select lag0.entity, lag0.date, bidask from lag0 left join lag7 using (entity, date))"""
+
+
+EDGE = f"{RETURNS},\n{_edge()}"
+_add_from_lag("edge_spread", ["bid_ask"], {"bidask": "bidask"}, EDGE, doc="EDGE bid-ask spread over 30 rows.", places=6)

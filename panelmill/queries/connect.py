@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelmill.operators import clean
 from panelmill.plans import pipeline
+from panelmill.queries import characteristics
 from panelmill.queries.base import BENCHMARK, EXCESS, PANEL, num, qnum, qsci, sci, usable
 from panelmill.session import table
 from panelmill.sources import files
@@ -143,12 +144,11 @@ def estimation_pipeline(spark: SparkSession, path: str) -> DataFrame:
     return pipeline.estimation_sample(sample, "2014-01-01", "2025-07-31", least_rows=30, least_entities=5)
 
 
-@query()
+@query(" join ".join(f"({sql})" + (" using (entity, date)" if i else "") for i, sql in enumerate(characteristics.ORACLES[k] for k in characteristics.SHOWN)).join(("select * from ", "")))
 def all_characteristics(spark: SparkSession, path: str) -> DataFrame:
-    """Every characteristic of the panel in one plan."""
+    """Every characteristic of the panel in one plan; its SQL joins those of the single queries."""
     df = pipeline.characteristics_panel(clean.clip(clean.simple_return(usable(spark, path))), risk_free(spark, path))
-    keep = [c for c in df.columns if c not in ("open", "high", "low", "close", "sector")]
-    return df.select(*keep)
+    return df.select("entity", "date", *[c for name in characteristics.SHOWN for c in characteristics.shown(name)])
 
 
 @query("""with v as (select entity, date_trunc('day', snapped_at) as start, marketcap as v, snapped_at as t from panel_raw where snapped_at is not null and marketcap is not null and isfinite(marketcap))
