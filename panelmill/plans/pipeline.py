@@ -32,9 +32,24 @@ def characteristics_panel(cleaned: DataFrame, rates: DataFrame, groups: list[str
     return df
 
 
-def load_panel(df: DataFrame, ret: str = "ret_excess", ignore: Sequence[str] = (), cache: str | None = None, spark: SparkSession | None = None) -> DataFrame:
+def weekly(df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """The last row of each entity and calendar week (Monday to Sunday), dated by the week's Monday; ``order`` breaks ties of a date.
+
+    An aggregate with map-side combine. Rows without a date form a week of their own.
+    """
+    rest = [c for c in df.columns if c != "entity"]
+    last = df.groupBy("entity", F.trunc("date", "week").alias("_week")).agg(F.max_by(F.struct(*rest), F.struct("date", *order)).alias("_l"))
+    return last.select(*[F.col("entity") if c == "entity" else F.col("_week").alias("date") if c == "date" else F.col("_l")[c].alias(c) for c in df.columns])
+
+
+def load_panel(
+    df: DataFrame, ret: str = "ret_excess", ignore: Sequence[str] = (), cache: str | None = None, spark: SparkSession | None = None, freq: str = "daily"
+) -> DataFrame:
     """The estimation panel: dense entity ids, one row per (date, entity), unneeded columns dropped, all characteristics one row
-    later, rows with a missing value dropped. ``cache``: a folder that is read if it is there and written if not."""
+    later, rows with a missing value dropped. ``cache``: a folder that is read if it is there and written if not. ``freq``:
+    ``daily`` takes the rows as they are, ``weekly`` the last one of each week."""
+    if freq not in ("daily", "weekly"):
+        raise ValueError(f"unknown frequency {freq!r}")
     spark = spark or df.sparkSession
     if cache:
         try:
@@ -42,6 +57,7 @@ def load_panel(df: DataFrame, ret: str = "ret_excess", ignore: Sequence[str] = (
         except AnalysisException:
             pass  # not there yet
     df = clean.keep_first(df, ["date", "entity"], [c for c in df.columns if c not in ("date", "entity")]).drop(*UNNEEDED, *ignore)
+    df = weekly(df) if freq == "weekly" else df
     chars = [c for c in df.columns if c not in ("date", "entity", ret)]
     lagged = lag_all(df, chars, {"ret": "r2_1"})
     ids = clean.dense_ids(lagged)

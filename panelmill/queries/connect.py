@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelmill.operators import clean
 from panelmill.plans import pipeline
 from panelmill.queries import characteristics
-from panelmill.queries.base import BENCHMARK, EXCESS, PANEL, num, qnum, qsci, sci, usable
+from panelmill.queries.base import BENCHMARK, EXCESS, PANEL, RETURNS, num, qnum, qsci, returns, sci, usable
 from panelmill.session import table
 from panelmill.sources import files
 from panelmill.sources.panel import panel, risk_free
@@ -132,16 +132,85 @@ def clean_pipeline(spark: SparkSession, path: str) -> DataFrame:
     return pipeline.clean_panel(panel(spark, path), listed, BENCHMARK, streak=15).select("entity", "date", num("ret"))
 
 
-_SAMPLE = ["marketcap", "rvol_30d"]
+def _finite(c: str) -> str:
+    return f"case when not isnan({c}) then {c} end"
 
 
-@query()
+_LOADED = ("marketcap", "rvol_7d", "rvol_30d", "turn", "ret")
+_SHOWN = ("marketcap", "rvol_7d", "rvol_30d", "turn", "r2_1")
+
+
+def _estimation(weekly: bool, least_rows: int, least_entities: int) -> str:
+    """SQL of the loader and the sample: first versions, (weeks,) ids, lags, whole rows, filters, ranks."""
+    version = "row_number() over (partition by date, entity order by known_at, ret nulls first, marketcap nulls first) = 1"
+    week = "first0 as (select * exclude (date), date_trunc('week', date)::date as date from one qualify row_number() over (partition by entity, date_trunc('week', date) order by date desc) = 1)"
+    lags = ", ".join(f"lag({_finite(c)}) over (partition by entity order by date) as {'r2_1' if c == 'ret' else c}" for c in _LOADED)
+    ranks = ", ".join(f"rank() over (partition by date order by {c}) + (count(*) over (partition by date, {c}) - 1) / 2.0 as k_{c}" for c in _SHOWN)
+    scaled = ", ".join(qnum(f"(k_{c} - 1) / nullif(max(k_{c}) over (partition by date) - 1, 0) - 0.5", c) for c in _SHOWN)
+    return f"""with one as (select date, entity, ret, marketcap, rvol_7d, rvol_30d, turn from characteristics qualify {version}),
+{week if weekly else 'first0 as (select * from one)'},
+lagged as (select date, entity, {_finite('ret')} as ret_excess, {lags} from first0),
+ids as (select entity, row_number() over (order by entity) as id from (select distinct entity from lagged where entity is not null)),
+whole as (select lagged.* exclude (entity), id as entity from lagged join ids using (entity)
+  where ret_excess is not null and {' and '.join(f'{c} is not null' for c in _SHOWN)}),
+rowed as (select * from whole where date between '2014-01-01' and '2025-07-31' qualify count(*) over (partition by entity) >= {least_rows}),
+sample as (select * from rowed qualify count(*) over (partition by date) >= {least_entities}),
+ranked as (select *, {ranks} from sample)
+select date, entity::bigint as entity, {qnum('ret_excess', 'ret_excess')}, {scaled} from ranked"""
+
+
+def _sample(spark: SparkSession, path: str, freq: str, least_rows: int, least_entities: int) -> DataFrame:
+    rows = table(spark, path, "characteristics").select("date", "entity", "ret", "marketcap", "rvol_7d", "rvol_30d", "turn", F.col("ret").alias("ret_excess"), "known_at")
+    rows = clean.keep_first(rows, ["date", "entity"], ["known_at", "ret", "marketcap"]).drop("known_at")
+    sample = pipeline.estimation_sample(pipeline.load_panel(rows, freq=freq), "2014-01-01", "2025-07-31", least_rows, least_entities)
+    return sample.select("date", F.col("entity").cast("long").alias("entity"), num("ret_excess"), *[num(c) for c in _SHOWN])
+
+
+@query(_estimation(False, 30, 5))
 def estimation_pipeline(spark: SparkSession, path: str) -> DataFrame:
     """From the characteristics table to the ranked estimation sample."""
-    rows = table(spark, path, "characteristics").select("date", "entity", "ret", "marketcap", "rvol_7d", "rvol_30d", "turn", F.col("ret").alias("ret_excess"), "known_at")
-    rows = clean.keep_first(rows, ["date", "entity"], ["known_at"]).drop("known_at")
-    sample = pipeline.load_panel(rows)
-    return pipeline.estimation_sample(sample, "2014-01-01", "2025-07-31", least_rows=30, least_entities=5)
+    return _sample(spark, path, "daily", 30, 5)
+
+
+@query(_estimation(True, 5, 5))
+def weekly_pipeline(spark: SparkSession, path: str) -> DataFrame:
+    """The same from the last row of each week."""
+    return _sample(spark, path, "weekly", 5, 5)
+
+
+@query(f"""with {RETURNS}, d as (select date, avg(rate_pct) as index_7 from (select date, max(rate_pct) as rate_pct from risk_free group by 1) group by 1)
+select entity, date, {qnum('ln(marketcap)', 'mcap')}, {qnum('index_7', 'idx')} from ret left join d using (date)""")
+def series_by_date(spark: SparkSession, path: str) -> DataFrame:
+    """A sheet of a dated series, landed as CSV with headings and a text date of its own, projected, renamed and joined to the panel by date."""
+    at = files.scratch(spark)
+    sheet = risk_free(spark, path).select(F.date_format("date", "dd.MM.yyyy").alias("Day"), F.col("rate_pct").alias("Index (daily)"), F.lit("n/a").alias("Remark"))
+    files.write_csv(sheet, at)
+    read = files.csv(spark, at, "`Day` string, `Index (daily)` double, `Remark` string")
+    series = files.taken(read.select(F.to_date("Day", "dd.MM.yyyy").alias("date"), F.col("Index (daily)").alias("idx")), at)
+    df = pipeline.characteristics_panel(returns(spark, path), risk_free(spark, path), ["size"], [series])
+    return df.select("entity", "date", num("mcap"), num("idx"))
+
+
+@query(f"""with {PANEL} select entity, date, strftime(date, '%Y%m')::int as month_key, {qsci('close', 'close')}, sector from use""")
+def partitioned_table(spark: SparkSession, path: str) -> DataFrame:
+    """The panel written as Parquet in folders by month and read back, the month from the folder's name."""
+    at = files.scratch(spark)
+    files.write_table(usable(spark, path).select("entity", "date", "close", "sector", F.date_format("date", "yyyyMM").cast("int").alias("month_key")), at, ["month_key"])
+    return files.taken(spark.read.parquet(at), at).select("entity", "date", "month_key", sci("close"), "sector")
+
+
+@query(f"""with {PANEL}, y as (select year(date)::int as year, count(distinct entity) as entities, count(*) as n, avg(close / open) as ratio from use group by 1),
+l as (select 0 as place, '\\begin{{tabular}}{{lrrr}}' as line union all select 1, '\\toprule' union all select 2, 'year & entities & rows\\_n & ratio \\\\'
+union all select 3, '\\midrule' union all select 3 + row_number() over (order by year), format('{{:,}}', year) || ' & ' || format('{{:,}}', entities) || ' & ' || format('{{:,}}', n) || ' & ' || printf('%.4f', ratio) || ' \\\\' from y
+union all select 100000, '\\bottomrule' union all select 100001, '\\end{{tabular}}')
+select row_number() over (order by place) as place, line from l""")
+def latex_table(spark: SparkSession, path: str) -> DataFrame:
+    """A yearly summary as the lines of a LaTeX table."""
+    rows = usable(spark, path).groupBy(F.year("date").alias("year")).agg(
+        F.count_distinct("entity").alias("entities"), F.count(F.lit(1)).alias("rows_n"), F.avg(F.col("close") / F.col("open")).alias("ratio")
+    )
+    lines = files.latex(rows.orderBy("year")).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place long, line string")
 
 
 @query(" join ".join(f"({sql})" + (" using (entity, date)" if i else "") for i, sql in enumerate(characteristics.ORACLES[k] for k in characteristics.SHOWN)).join(("select * from ", "")))
