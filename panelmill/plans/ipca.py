@@ -90,9 +90,18 @@ class IPCA:
             if len(rows) != K:
                 raise ValueError("Identity needs K characteristics")
         names = [*(F_names or [str(i) for i in range(K)]), *(G_names or [f"g{i}" for i in range(given.shape[1])])]
-        run = out_of_sample if OOS else in_sample
-        extra = {"window": OOS_window, "size": OOS_window_specs} if OOS else {}
-        return run(m, K, given, names, factor_mean, minTol, maxIters, rows, **extra)
+        if OOS:
+            return out_of_sample(self.panel.sparkSession, m, K, given, names, factor_mean, minTol, maxIters, rows, OOS_window, OOS_window_specs)
+        return in_sample(m, K, given, names, factor_mean, minTol, maxIters, rows)
+
+    def results(self, fit: Fit, R_fit: bool = False, Beta_fit: bool = False) -> dict:
+        """What a fit gives, by name; fitted returns and loadings of single rows are there if asked for, as tables."""
+        out = {"Gamma": fit.gamma, "Factors": fit.factors, "Lambda": fit.means, "xfits": fit.r2_x(self.moments.x)}
+        if R_fit:
+            out["rfits"] = self.asset_fits(fit)
+        if Beta_fit:
+            out["Betas"] = self.betas(fit)
+        return out
 
     def asset_fits(self, fit: Fit) -> DataFrame:
         """(date, entity, ret, total, pred): fitted returns of every row, from what its date's factors make of each characteristic."""
@@ -101,13 +110,21 @@ class IPCA:
         return asset_fits(self.panel, self.ret, self.base, per, self.date, self.entity, self.add_constant)
 
     def betas(self, fit: Fit) -> DataFrame:
-        """(date, entity, name, beta) of an in-sample fit: each row's loading on each factor."""
+        """(date, entity, name, beta): each row's loading on each factor; out of sample those of its date, from the first forecast on."""
         z = [*[F.col(c) for c in self.base], *([F.lit(1.0)] if self.add_constant else [])]
+        if fit.gamma.ndim == 3:
+            per = [(d, [float(v) for v in fit.gamma[t].ravel()]) for t, d in enumerate(fit.dates) if t >= fit.first]
+            own = self.panel.sparkSession.createDataFrame(per, f"{self.date} {dict(self.panel.dtypes)[self.date]}, _g array<double>")
+            k = len(fit.names)
+            beta = lambda j: sum((c * F.col("_g")[i * k + j] for i, c in enumerate(z)), F.lit(0.0))
+            each = [F.struct(F.lit(name).alias("name"), beta(j).alias("beta")) for j, name in enumerate(fit.names)]
+            return attach(self.panel, own, [self.date], "inner").select(self.date, self.entity, F.explode(F.array(*each)).alias("b")).select(self.date, self.entity, "b.*")
         each = [F.struct(F.lit(k).alias("name"), sum((c * float(g) for c, g in zip(z, fit.gamma[:, j])), F.lit(0.0)).alias("beta")) for j, k in enumerate(fit.names)]
         return self.panel.select(self.date, self.entity, F.explode(F.array(*each)).alias("b")).select(self.date, self.entity, "b.*")
 
-    def r2_assets(self, fit: Fit, bench: str = "zero", since=None, until=None) -> tuple[float, float]:
-        rows = asset_benchmark(self.asset_fits(fit), bench, self.date, self.entity)
+    def r2_assets(self, fit: Fit, bench: str = "zero", since=None, until=None, fits: DataFrame | None = None) -> tuple[float, float]:
+        """Total and predictive R2 of single returns. ``fits``: the fitted returns, pinned, if several benchmarks are asked for."""
+        rows = asset_benchmark(self.asset_fits(fit) if fits is None else fits, bench, self.date, self.entity)
         if since is not None:
             rows = rows.filter(F.col(self.date) >= F.lit(since))
         if until is not None:
@@ -137,27 +154,45 @@ def in_sample(m: Moments, k: int, given: np.ndarray, names: list[str], factor_me
     return Fit(m.chars, names, m.dates, k, e.gamma, e.factors, means, b, *fits, stats={"tol": e.tol, "iters": e.iters})
 
 
-def out_of_sample(m: Moments, k: int, given: np.ndarray, names: list[str], factor_mean: str, min_tol: float, max_iters: int, rows=None, window: str = "recursive", size: int = 60) -> Fit:
+OOS_BLOCK = 16  # forecast dates of a task; the first starts anew, the others from the estimate of the date before
+
+
+def forecasts(m: Moments, k: int, given: np.ndarray, factor_mean: str, min_tol: float, max_iters: int, rows, window: str, size: int, begin: int) -> list[tuple]:
+    """(t, gamma, factors, means, iters) of up to ``OOS_BLOCK`` dates from ``begin`` on, each estimated on dates before it alone."""
+    out, last = [], None
+    for t in range(begin, min(begin + OOS_BLOCK, len(m.dates))):
+        at = slice(max(0, t - size) if window == "rolling" else 0, t)
+        start = None if last is None else (last, kernel.factor_step(last, m.x[at], m.w[at], given[at], k))
+        e = kernel.estimate(m.x[at], m.w[at], m.n[at], k, given[at], min_tol, max_iters, start=start, rows=rows)
+        last = e.gamma
+        f = kernel.factor_step(e.gamma, m.x[t : t + 1], m.w[t : t + 1], given[t : t + 1], k)[0]
+        mean = kernel.var1(e.factors) @ np.append(e.factors[-1], 1.0) if factor_mean == "VAR1" else e.factors.mean(axis=0)
+        out.append((t, e.gamma, f, mean, e.iters))
+    return out
+
+
+def out_of_sample(
+    spark: SparkSession, m: Moments, k: int, given: np.ndarray, names: list[str], factor_mean: str, min_tol: float, max_iters: int, rows=None, window: str = "recursive", size: int = 60
+) -> Fit:
+    """Blocks of dates are estimated in tasks of their own; the blocks don't depend on the number of tasks."""
     t_all, width, km = len(m.dates), m.x.shape[1], k + given.shape[1]
     gamma = np.full((t_all, width, km), np.nan)
     factors, means = np.full((t_all, km), np.nan), np.full((t_all, km), np.nan)
-    x_total, x_pred = np.full_like(m.x, np.nan), np.full_like(m.x, np.nan)
-    last = kernel.initial(m.x[:size], k, given[:size])[0]
-    iters, b = [], np.full((km, km + 1), np.nan)
-    for t in range(size, t_all):
-        at = slice(max(0, t - size) if window == "rolling" else 0, t)
-        guess = (last, kernel.factor_step(last, m.x[at], m.w[at], given[at], k))
-        e = kernel.estimate(m.x[at], m.w[at], m.n[at], k, given[at], min_tol, max_iters, start=guess, rows=rows)
-        last = gamma[t] = e.gamma
-        iters.append(e.iters)
-        factors[t] = kernel.factor_step(e.gamma, m.x[t : t + 1], m.w[t : t + 1], given[t : t + 1], k)[0]
-        if factor_mean == "VAR1":
-            b = kernel.var1(e.factors)
-            means[t] = b @ np.append(e.factors[-1], 1.0)
-        else:
-            means[t] = e.factors.mean(axis=0)
-        x_total[t], x_pred[t] = m.w[t] @ e.gamma @ factors[t], m.w[t] @ e.gamma @ means[t]
-    return Fit(m.chars, names, m.dates, k, gamma, factors, means, b, x_total, x_pred, first=size, stats={"iters": iters})
+    iters = []
+
+    def work(moments: Moments, job: int) -> list[tuple]:
+        got = forecasts(moments, k, given, factor_mean, min_tol, max_iters, rows, window, size, size + job * OOS_BLOCK)
+        return [(t, [float(v) for v in g.ravel()], [float(v) for v in f], [float(v) for v in l], i) for t, g, f, l, i in got]
+
+    blocks = -(-max(0, t_all - size) // OOS_BLOCK)
+    if blocks:
+        for r in _spread(spark, blocks, m, work, "t int, gamma array<double>, factors array<double>, means array<double>, iters int").collect():  # one row per date
+            gamma[r["t"]] = np.reshape(r["gamma"], (width, km))
+            factors[r["t"]], means[r["t"]] = r["factors"], r["means"]
+            iters.append(r["iters"])
+    fits = [np.einsum("tlm,tmk,tk->tl", m.w, gamma, f) for f in (factors, means)]
+    var = kernel.var1(factors[size:]) if factor_mean == "VAR1" and t_all - size > 1 else np.full((km, km + 1), np.nan)
+    return Fit(m.chars, names, m.dates, k, gamma, factors, means, var, *fits, first=size, stats={"iters": iters})
 
 
 def asset_fits(panel: DataFrame, ret: str, chars: Sequence[str], per_date: Sequence[tuple], date: str = "date", entity: str = "entity", add_constant: bool = False) -> DataFrame:
@@ -183,8 +218,11 @@ def asset_benchmark(rows: DataFrame, bench: str, date: str = "date", entity: str
         before = sums.select(date, F.coalesce(F.sum("_s").over(past) / F.sum("_n").over(past), F.lit(0.0)).alias("bench"))
         return attach(rows, before, [date])
     if bench == "individual_mean_recursive":
+        # One row per entity and date first: an entity's rows of one date know nothing of each other.
+        sums = rows.groupBy(entity, date).agg(F.sum("ret").alias("_s"), F.count("ret").alias("_n"))
         past = Window.partitionBy(entity).orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("bench", F.coalesce(F.avg("ret").over(past), F.lit(0.0)))
+        mean = F.try_divide(F.sum("_s").over(past), F.sum("_n").over(past))
+        return attach(rows, sums.select(entity, date, F.coalesce(mean, F.lit(0.0)).alias("bench")), [entity, date])
     raise ValueError(f"unknown benchmark {bench!r}")
 
 
@@ -195,6 +233,7 @@ def r2_column(fit: str, bench: Column | float = 0.0) -> Column:
 # Bootstrap tests and grids: many small estimates, one Spark task for each few of them.
 
 BLOCK = 20  # draws that are estimated together
+REDRAWS = 20  # times a draw whose estimate is singular is drawn again before it counts as failed
 
 
 def _spread(spark: SparkSession, jobs: int, m: Moments, work, schema: str) -> DataFrame:
@@ -224,8 +263,8 @@ def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[st
     """(test, draw, stat, observed, converged) of the hypotheses that loadings are 0; a draw has converged if it reached ``min_tol``.
 
     A test is ``row:<l>`` (characteristic number l has no effect) or ``last`` (the last factor has none). Draw number n is seeded
-    with n, so the draws don't depend on how they are spread. A draw whose estimate is singular is drawn again. ``BLOCK`` draws are
-    estimated together.
+    with n, so the draws don't depend on how they are spread. A draw whose estimate is singular is drawn again, up to ``REDRAWS`` times;
+    then its statistic is null. ``BLOCK`` draws are estimated together.
     """
     residuals = m.x - fit.x_total
     plain = fit.gamma
@@ -254,22 +293,24 @@ def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[st
         except np.linalg.LinAlgError:
             found = []
             for draw in numbers:
-                rng = np.random.RandomState(draw)
-                while len(found) <= draw - begin:
+                rng, e = np.random.RandomState(draw), None
+                for _ in range(1 + REDRAWS):
                     try:
-                        found.append(kernel.estimate(drawn(rng), moments.w, moments.n, fit.k, given, min_tol, max_iters))
+                        e = kernel.estimate(drawn(rng), moments.w, moments.n, fit.k, given, min_tol, max_iters)
+                        break
                     except np.linalg.LinAlgError:
                         continue
-        return [(test, draw, stat(e.gamma, test), stat(plain, test), e.tol <= min_tol) for draw, e in zip(numbers, found)]
+                found.append(e)
+        return [(test, draw, stat(e.gamma, test) if e else None, stat(plain, test), bool(e and e.tol <= min_tol)) for draw, e in zip(numbers, found)]
 
     return _spread(spark, len(tests) * blocks, m, work, "test string, draw int, stat double, observed double, converged boolean")
 
 
 def p_values(draws: DataFrame) -> DataFrame:
-    """(test, observed, pval, draws, converged): the share of draws above the observed statistic, and how many draws there are and converged."""
+    """(test, observed, pval, draws, converged): the share of draws above the observed statistic, and how many draws gave one and converged."""
     return draws.groupBy("test").agg(
         F.max("observed").alias("observed"), F.avg((F.col("stat") > F.col("observed")).cast("double")).alias("pval"),
-        F.count(F.lit(1)).alias("draws"), F.count_if("converged").alias("converged"),
+        F.count("stat").alias("draws"), F.count_if("converged").alias("converged"),
     )
 
 
@@ -301,31 +342,67 @@ class Spec:
 
 
 def grid(spark: SparkSession, m: Moments, given: dict[str, np.ndarray], specs: Sequence[Spec], min_tol: float = 1e-6, max_iters: int = 1000) -> DataFrame:
-    """(label, k, factors, oos, iters, r2_total, r2_pred) of every model, each fitted in a task of its own."""
+    """(label, k, factors, oos, dates, iters, r2_total, r2_pred, assets_total, assets_pred) of every model.
+
+    ``dates`` is the number of dates the R2 are over, of portfolios and of single returns, against a forecast of zero. A model
+    is fitted in a task of its own, one out of sample in a task for each block of ``OOS_BLOCK`` dates; tasks return sums of
+    squares, which are put together by label.
+    """
     specs = list(specs)
+    jobs = [(i, t) for i, s in enumerate(specs) for t in (range(s.size, len(m.dates), OOS_BLOCK) if s.oos else [-1])]
 
     def work(moments: Moments, job: int) -> list[tuple]:
-        s = specs[job]
+        number, begin = jobs[job]
+        s = specs[number]
         g = np.column_stack([given[f] for f in s.factors]) if s.factors else np.zeros((len(moments.dates), 0))
-        names = [*[str(i) for i in range(s.k)], *s.factors]
-        args = (moments, s.k, g, names, "constant", min_tol, max_iters)
-        fit = out_of_sample(*args, size=s.size) if s.oos else in_sample(*args)
-        total, pred = fit.r2_x(moments.x)
-        return [(s.label, s.k, ",".join(s.factors), s.oos, int(np.max(fit.stats["iters"])), total, pred)]
+        if s.oos:
+            got = forecasts(moments, s.k, g, "constant", min_tol, max_iters, None, "recursive", s.size, begin)
+            at, iters = np.array([t for t, *_ in got]), max(i for *_, i in got)
+            q = [np.array([gamma @ (f, mean)[j] for _, gamma, f, mean, _ in got]) for j in (0, 1)]
+        else:
+            e = kernel.estimate(moments.x, moments.w, moments.n, s.k, g, min_tol, max_iters)
+            at, iters = np.arange(len(moments.dates)), e.iters
+            q = [e.factors @ e.gamma.T, np.tile(e.gamma @ e.factors.mean(axis=0), (len(at), 1))]
+        x, w = moments.x[at], moments.w[at]
+        left = [float(((x - np.einsum("tlm,tm->tl", w, v)) ** 2).sum()) for v in q] + [float(moments.left(v, at).sum()) for v in q]
+        return [(number, len(at), iters, *left, float((x**2).sum()), float(moments.s[at].sum()))]
+
+    parts = _spread(spark, len(jobs), m, work, "number int, dates int, iters int, xt double, xp double, rt double, rp double, xx double, rr double")
+    sums = parts.groupBy("number").agg(F.sum("dates").cast("int").alias("dates"), F.max("iters").alias("iters"), *[F.sum(c).alias(c) for c in ("xt", "xp", "rt", "rp", "xx", "rr")])
+    label = spark.createDataFrame([(i, s.label, s.k, ",".join(s.factors), s.oos) for i, s in enumerate(specs)], "number int, label string, k int, factors string, oos boolean")
+    r2 = lambda left, whole: 1 - F.try_divide(F.col(left), F.col(whole))
+    return sums.join(F.broadcast(label), "number").select(  # one row per model
+        "label", "k", "factors", "oos", "dates", "iters",
+        r2("xt", "xx").alias("r2_total"), r2("xp", "xx").alias("r2_pred"), r2("rt", "rr").alias("assets_total"), r2("rp", "rr").alias("assets_pred"),
+    )
+
+
+def nested_specs(order: Sequence[str], ks: Sequence[int] | None = (0,), prefix: str = "", **more) -> list[Spec]:
+    """Models with the first 1, 2, ... given factors, for each number of latent ones; ``ks`` None: as many latent as given ones."""
+    specs = []
+    for i in range(len(order)):
+        for k in [i + 1] if ks is None else ks:
+            specs.append(Spec(f"{prefix}K{k}+{'+'.join(order[: i + 1])}", k, tuple(order[: i + 1]), **more))
+    return specs
+
 
-    return _spread(spark, len(specs), m, work, "label string, k int, factors string, oos boolean, iters int, r2_total double, r2_pred double")
+ARRAYS = ("gamma", "factors", "means", "var1", "x_total", "x_pred")
 
 
-def nested_specs(order: Sequence[str], ks: Sequence[int] = (0,), **more) -> list[Spec]:
-    """Models with the first 1, 2, ... given factors, for each number of latent ones."""
-    return [Spec(f"K{k}+{'+'.join(order[: i + 1])}", k, tuple(order[: i + 1]), **more) for k in ks for i in range(len(order))]
+def save(spark: SparkSession, fit: Fit, path: str) -> None:
+    """A fit as Parquet in the folder ``path``, which may lie on any file system Spark can write: (name, shape, values) of its
+    arrays and, as JSON, what else there is."""
+    rest = {"chars": fit.chars, "names": fit.names, "dates": [str(d) for d in fit.dates], "k": fit.k, "first": fit.first}
+    rows = [(c, list(getattr(fit, c).shape), [float(v) for v in getattr(fit, c).ravel()], None) for c in ARRAYS]
+    rows.append(("rest", [], [], json.dumps(rest)))
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<double>, json string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def save(fit: Fit, path: str) -> None:
-    """Arrays as ``<path>.npz``, the rest as ``<path>.json``."""
-    np.savez_compressed(f"{path}.npz", **{k: getattr(fit, k) for k in ("gamma", "factors", "means", "var1", "x_total", "x_pred")})
-    with open(f"{path}.json", "w") as out:
-        json.dump({"chars": fit.chars, "names": fit.names, "dates": [str(d) for d in fit.dates], "k": fit.k, "first": fit.first}, out)
+def load(spark: SparkSession, path: str) -> Fit:
+    """A fit that ``save`` wrote; its dates are text."""
+    rows = {r["name"]: r for r in spark.read.parquet(path).collect()}  # one row per array
+    arrays = {c: np.array(rows[c]["values"], dtype=float).reshape(rows[c]["shape"]) for c in ARRAYS}
+    return Fit(**json.loads(rows["rest"]["json"]), **arrays)
 
 
-__all__ = ["CONSTANT", "IPCA", "Fit", "Spec", "grid", "nested_specs", "p_values", "save", "wald_beta", "wald_last", "wild_bootstrap"]
+__all__ = ["CONSTANT", "IPCA", "Fit", "Spec", "grid", "load", "nested_specs", "p_values", "save", "wald_beta", "wald_last", "wild_bootstrap"]

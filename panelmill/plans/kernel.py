@@ -45,13 +45,20 @@ def factor_step(gamma: np.ndarray, x: np.ndarray, w: np.ndarray, given: np.ndarr
     return np.hstack([solve(np.einsum("lk,tlj->tkj", latent, wg), left @ latent), given])
 
 
-def loading_step(factors: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The loadings for given factors: one regression over all dates, each weighted with its number of entities."""
+def normal_equations(factors: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the regression of all dates' moments on their factors, each date weighted with its number of entities."""
     size, km = x.shape[1], factors.shape[1]
     outer = (n[:, None, None] * factors[:, :, None] * factors[:, None, :]).reshape(len(n), -1)
     a = (w.reshape(len(n), -1).T @ outer).reshape(size, size, km, km).transpose(0, 2, 1, 3).reshape(size * km, size * km)
-    b = (x.T @ (n[:, None] * factors)).ravel()
-    return solve(a, b).reshape(size, km)
+    return a, (x.T @ (n[:, None] * factors)).ravel()
+
+
+def loading_step(factors: np.ndarray, x: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The loadings for given factors. Where there are as many factors as characteristics, or more, the shortest solution counts."""
+    a, b = normal_equations(factors, x, w, n)
+    if factors.shape[1] >= x.shape[1]:
+        return (np.linalg.pinv(a, rcond=1e-10, hermitian=True) @ b).reshape(x.shape[1], -1)
+    return solve(a, b).reshape(x.shape[1], -1)
 
 
 def positive_means(gamma: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

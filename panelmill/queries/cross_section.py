@@ -89,8 +89,8 @@ def _lagged(expr: str, source: str, name: str = "sl") -> str:
     return f"{name} as (select *, lag(round({expr}, 9)) over (partition by entity order by date) as ls from {source})"
 
 
-def _factor(long: int, short: int, name: str, tag: str = "") -> str:
-    return f"select date, {qnum(f'max(case when q = {long} then r end) - max(case when q = {short} then r end)', name)} from legs{tag} group by 1"
+def _factor(long: int, short: int, name: str, tag: str = "", places: int = 8) -> str:
+    return f"select date, {qnum(f'max(case when q = {long} then r end) - max(case when q = {short} then r end)', name, places)} from legs{tag} group by 1"
 
 
 @query(f"with {RETURNS}, {_legs('ret', 'marketcap')} {_factor(1, 5, 'smb')}")
@@ -137,13 +137,17 @@ def factor_frame(spark: SparkSession, path: str, since: str | None = None) -> Da
     )
 
 
-_ALL = f"""with {EXCESS}, {_legs('ret', 'marketcap', '1')}, f1 as ({_factor(1, 5, 'smb', '1')}),
-{_lagged('abs(ret) / (volume / 1e6)', 'ret', 'sl2')}, {_legs('sl2', 'ls', '2')}, f2 as ({_factor(5, 1, 'liq', '2')}),
-{YZ_STEPS}, vl as (select *, {_yz(30)} as rvol from lag), {_lagged('rvol', 'vl', 'sl3')}, {_legs('sl3', 'ls', '3')}, f3 as ({_factor(5, 1, 'vol', '3')}), {_MOM}
-select date, {qnum('cmkt', 'cmkt')}, smb, {qnum('cmom', 'cmom')}, liq, vol from (select date, mktret - rf as cmkt from mkt) join f1 using (date)
+def all_factors(places: int = 8) -> str:
+    return f"""with {EXCESS}, {_legs('ret', 'marketcap', '1')}, f1 as ({_factor(1, 5, 'smb', '1', places)}),
+{_lagged('abs(ret) / (volume / 1e6)', 'ret', 'sl2')}, {_legs('sl2', 'ls', '2')}, f2 as ({_factor(5, 1, 'liq', '2', places)}),
+{YZ_STEPS}, vl as (select *, {_yz(30)} as rvol from lag), {_lagged('rvol', 'vl', 'sl3')}, {_legs('sl3', 'ls', '3')}, f3 as ({_factor(5, 1, 'vol', '3', places)}), {_MOM}
+select date, {qnum('cmkt', 'cmkt', places)}, smb, {qnum('cmom', 'cmom', places)}, liq, vol from (select date, mktret - rf as cmkt from mkt) join f1 using (date)
 join mf using (date) join f2 using (date) join f3 using (date)"""
 
 
+_ALL = all_factors()
+
+
 @query(_ALL)
 def factor_table(spark: SparkSession, path: str) -> DataFrame:
     """The factors of all dates that have all five."""

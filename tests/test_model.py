@@ -7,8 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.plans import ipca, kernel
-from panelmill.plans.moments import collect_moments
+from panelmill.plans import ipca, kernel, steps
+from panelmill.plans.moments import collect_moments, moment_rows
 
 CHARS = ["c0", "c1", "c2", "c3"]
 
@@ -169,10 +169,73 @@ def test_grid(spark, model):
     assert np.isclose(alone.r2_x(m.moments.x)[0], got["K0+a"].r2_total)
 
 
-def test_save(tmp_path, model):
-    fit = model[0].fit(K=1)
-    ipca.save(fit, str(tmp_path / "fit"))
-    assert np.allclose(np.load(tmp_path / "fit.npz")["gamma"], fit.gamma)
+def test_grid_of_single_returns_and_out_of_sample(spark, model):
+    """R2 of single returns from the moments equals that over the rows; blocks of dates give what one fit gives."""
+    m, _, _, f = model
+    specs = [ipca.Spec("in", 1), ipca.Spec("out", 1, (), True, 20), ipca.Spec("too many", 3, ("a", "b"))]
+    got = {r.label: r for r in ipca.grid(spark, m.moments, {"a": f[:, 0], "b": f[:, 1]}, specs, 1e-6, 300).collect()}
+    for label, fit in (("in", m.fit(K=1, minTol=1e-6, maxIters=300)), ("out", m.fit(K=1, OOS=True, OOS_window_specs=20, minTol=1e-6, maxIters=300))):
+        assert np.allclose([got[label].assets_total, got[label].assets_pred], m.r2_assets(fit))
+        assert np.allclose([got[label].r2_total, got[label].r2_pred], fit.r2_x(m.moments.x))
+    assert (got["in"].dates, got["out"].dates) == (60, 40) and got["too many"].r2_total > got["in"].r2_total
+
+
+def test_save(spark, tmp_path, model):
+    fit = model[0].fit(K=1, OOS=True, OOS_window_specs=50)
+    ipca.save(spark, fit, str(tmp_path / "fit"))
+    back = ipca.load(spark, str(tmp_path / "fit"))
+    assert all(np.array_equal(getattr(back, c), getattr(fit, c), equal_nan=True) for c in ipca.ARRAYS)
+    assert (back.chars, back.names, back.k, back.first, back.dates[0]) == (fit.chars, fit.names, 1, 50, str(fit.dates[0]))
+
+
+def test_steps_where_the_moments_are(spark, model):
+    m, _, _, f = model
+    rows = moment_rows(m.panel, "ret", CHARS).repartition(5)
+    none = np.zeros((60, 0))
+    start = np.linalg.qr(np.random.RandomState(1).normal(size=(4, 2)))[0]
+    want = kernel.loading_step(kernel.factor_step(start, m.moments.x, m.moments.w, none, 2), m.moments.x, m.moments.w, m.moments.n)
+    got, second, mean = steps.loading_step(rows, start, 2)
+    assert np.allclose(got, want) and second.shape == (2, 2) and mean.shape == (2,)
+    by_date = {r.date: r.f for r in steps.factor_rows(rows, start, 2).collect()}
+    assert np.allclose([by_date[d] for d in m.moments.dates], kernel.factor_step(start, m.moments.x, m.moments.w, none, 2))
+    given = rows.join(spark.createDataFrame([(d, [float(v)]) for d, v in zip(m.moments.dates, f[:, 0])], "date date, g array<double>"), "date")
+    both = np.hstack([start[:, :1], np.ones((4, 1))])
+    want = kernel.loading_step(kernel.factor_step(both, m.moments.x, m.moments.w, f[:, :1], 1), m.moments.x, m.moments.w, m.moments.n)
+    assert np.allclose(steps.loading_step(given, both, 1)[0], want)
+    gamma, tol, iters = steps.fit_rows(rows, 4, 2, 1e-7, 60)
+    assert tol <= 1e-7 and np.allclose(gamma, m.fit(K=2, minTol=1e-8).gamma, atol=1e-5)
+    with pytest.raises(ValueError):
+        steps.loading_step(rows.limit(0), start, 2)
+
+
+def test_loadings_out_of_sample(model):
+    m, pdf, *_ = model
+    fit = m.fit(K=1, OOS=True, OOS_window_specs=50)
+    got = m.betas(fit).toPandas().sort_values(["date", "entity"])
+    late = pdf[pd.factorize(pdf.date)[0] >= 50].sort_values(["date", "entity"])
+    t = pd.factorize(late.date)[0] + 50
+    assert np.allclose(got.beta, np.einsum("il,il->i", late[CHARS].to_numpy(), fit.gamma[t, :, 0])) and len(got) == 10 * 80
+    assert set(m.results(fit)) == {"Gamma", "Factors", "Lambda", "xfits"}
+    assert m.results(fit, R_fit=True, Beta_fit=True)["Betas"].columns == ["date", "entity", "name", "beta"]
+
+
+def test_benchmark_of_the_past_ignores_rows_of_the_same_date(spark):
+    d = [dt.date(2024, 1, k) for k in (1, 2, 3)]
+    rows = [(d[0], 1, 1.0), (d[1], 1, 5.0), (d[1], 1, 9.0), (d[2], 1, 0.0), (d[2], 2, 4.0), (d[2], None, 4.0)]
+    got = ipca.asset_benchmark(spark.createDataFrame(rows, "date date, entity int, ret double"), "individual_mean_recursive").collect()
+    assert sorted((r.date, r.entity or 0, r.ret, r.bench) for r in got) == [
+        (d[0], 1, 1.0, 0.0), (d[1], 1, 5.0, 1.0), (d[1], 1, 9.0, 1.0), (d[2], 0, 4.0, 0.0), (d[2], 1, 0.0, 5.0), (d[2], 2, 4.0, 0.0),
+    ]
+
+
+def test_singular_draws_end(spark, model, monkeypatch):
+    """A draw that is singular however often it is drawn counts as failed."""
+    m = model[0]
+    fit = m.fit(K=1, minTol=1e-6)
+    bad = ipca.Moments(m.moments.dates, CHARS, m.moments.n, m.moments.x * np.nan, m.moments.w, m.moments.s)
+    draws = ipca.wild_bootstrap(spark, bad, fit, ["row:0"], 3, 1e-5, 5, np.zeros((60, 0)))
+    got = ipca.p_values(draws).first()
+    assert (got.draws, got.converged, got.pval) == (0, 0, None)
 
 
 def test_many_estimates_together_equal_single_ones(model):
