@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +15,40 @@ from panelmill.operators.shards import PART, last_key, sorted_shards, starts
 from panelmill.session import attach
 
 
-def value_runs(df: DataFrame, groups: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Partial result of a day, a file or a table: (groups, measure, value, n), the distinct values with their counts.
+def value_runs(df: DataFrame, groups: Sequence[str], measures: Sequence[str], compact: bool = False) -> DataFrame:
+    """Partial result of a day, a file or a table: (groups, measure, value, n), values with their counts.
 
     Partial results are combined by ``union``; ``percentiles`` then gives what it would give on all rows at once, without
-    any error. Counting equal values before the shuffle keeps a value that a third of the rows have from becoming a hot key.
-    Nulls and NaN are no values; infinities are, in order. A null group is a group of its own. -0.0 counts as 0.0.
+    any error. Equal values are counted batch by batch where they are read, without a shuffle, so a value may come
+    several times but one that a third of the rows have comes in few rows. ``compact``: one row per value, at the price of a
+    shuffle, for partial results that are to be kept. Nulls and NaN are no values; infinities are, in order. A null group is
+    a group of its own. -0.0 counts as 0.0.
     """
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
-    long = df.select(*groups, F.explode(pairs).alias("_x")).select(*groups, "_x.measure", (F.col("_x.value") + F.lit(0.0)).alias("value"))
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*groups, "measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    named = [f"_m{i}" for i in range(len(measures))]
+    wide = df.select(*groups, *[(F.col(m).cast("double") + F.lit(0.0)).alias(n) for m, n in zip(measures, named)])
+    schema = wide.select(*groups, F.lit("").alias("measure"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("n")).schema
+    runs = wide.mapInArrow(partial(_count, groups=list(groups), measures=dict(zip(named, measures))), schema)
+    return runs.groupBy(*groups, "measure", "value").agg(F.sum("n").alias("n")) if compact else runs
+
+
+def _count(batches: Iterator[pa.RecordBatch], groups: list[str], measures: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """The distinct values of each batch, group and measure with their counts."""
+    names = [f"g{i}" for i in range(len(groups))]
+    for batch in batches:
+        keys = [batch.column(i) for i in range(len(groups))]
+        for i, measure in enumerate(measures.values(), len(groups)):
+            value = batch.column(i)
+            usable = pc.and_(pc.is_valid(value), pc.invert(pc.fill_null(pc.is_nan(value), True)))
+            own = pa.table([*keys, value], names=[*names, "v"]).filter(usable)
+            if not own.num_rows:
+                continue
+            if not any(pa.types.is_nested(k.type) for k in keys):
+                own = own.group_by([*names, "v"]).aggregate([([], "count_all")])
+                n = own.column("count_all").cast(pa.int64())
+            else:
+                n = pa.array(np.ones(own.num_rows, dtype=np.int64))
+            columns = [*[own.column(k) for k in names], pa.array([measure] * own.num_rows), own.column("v"), n]
+            yield from pa.table(columns, names=[*groups, "measure", "value", "n"]).to_batches()
 
 
 def percentiles(runs: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -40,7 +66,9 @@ def percentiles(runs: DataFrame, groups: Sequence[str], probs: Sequence[float])
     # Partial results may hold a value several times; their counts simply follow one another in the order.
     schema = runs.select(*keys, "value", "n", F.lit(0).alias(PART), F.lit(0).cast("long").alias("upto")).schema
     number = lambda batches: _number(batches, keys)
-    shards = sorted_shards(runs, [*keys, "value"], lambda d: d.select(*keys, "value", F.col("n").cast("long").alias("n"), PART).mapInArrow(number, schema))
+    # Runs of one value that many batches have are spread by their place, so that they can fill several shards.
+    runs = runs.withColumn("_spread", F.when(F.col("n") > 1, F.monotonically_increasing_id()))
+    shards = sorted_shards(runs, [*keys, "value", "_spread"], lambda d: d.select(*keys, "value", F.col("n").cast("long").alias("n"), PART).mapInArrow(number, schema))
     counts = shards.groupBy(PART, *keys).agg(F.sum("n").alias("own"))
     group = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("own").over(group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -40,7 +40,7 @@ def p1_percentiles(spark: SparkSession, path: str) -> DataFrame:
 
 def p1_combined(spark: SparkSession, path: str) -> DataFrame:
     """Monthly medians put together from partial results of separate days."""
-    days = value_runs(_months(spark, path), ["date"], MEASURES)
+    days = value_runs(_months(spark, path), ["date"], MEASURES, compact=True)
     runs = days.select(F.date_format("date", "yyyyMM").cast("long").alias("month_key"), "measure", "value", "n")
     got = percentiles(runs, ["month_key"], [0.5])
     return got.select("month_key", "measure", "n", F.format_string("%.9e", "value").alias("median"))
