@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from panelmill.session import pinned
 
 LENGTHS = (256, 512, 1024, 2048)
 SHARD_ITEMS = 50_000
+MOST_TASKS = 10_000
+MOST_CHOICES = 16  # choices of lengths to open that are tried in full; with more lengths only all of them and each alone
 #: What opening a container costs besides its length, in tokens. It makes few containers better than many small ones.
 OVERHEAD = 64
 
@@ -35,9 +38,12 @@ def pack(
 
     Method: variable-capacity best fit. Pieces are spread over shards by a hash of their key, about ``shard_items`` to a shard
     whatever their source or size, and each task packs its shard, longest first: into the open container with the least
-    room that holds the piece, else into a new one of the length that costs least, ``length + overhead`` per token that is
-    still there to be filled in. In the end each container is reduced to its contents. A shard leaves some room in its last
-    containers only, thus the loss to sharding is below ``max(lengths)`` tokens in ``shard_items`` pieces.
+    room that holds the piece, else into a new one. Which length that has is decided by what the pieces still to come would
+    put into each (a count of them by size tells): the one with the least ``length + overhead`` per token filled in, each
+    reduced to its contents. A shard is packed once for every choice of lengths to open, up to ``MOST_CHOICES``, and the
+    cheapest packing is taken, so it costs no more than any single length would. In the end each container is reduced to its
+    contents. A shard leaves some room in its last containers only, thus the loss to sharding is below ``max(lengths)``
+    tokens in ``shard_items`` pieces.
 
     The result doesn't depend on partitioning. Rows of equal key are items of their own.
     """
@@ -51,7 +57,8 @@ def pack(
     pieces = pinned(pieces.select("_k", "_p", F.least(F.col("_n") - F.col("_p") * most, F.lit(most)).alias("_n")))
     shards = max(1, -(-pieces.count() // shard_items))
     shard = F.pmod(F.xxhash64("_k", "_p"), F.lit(shards)).cast("int")
-    ready = pieces.withColumn("_shard", shard).repartition(F.col("_shard"))
+    # A number of its own: shards are heavy for their bytes, so small ones must not be merged into few tasks.
+    ready = pieces.withColumn("_shard", shard).repartition(min(shards, MOST_TASKS), "_shard")
     ready = ready.sortWithinPartitions("_shard", F.desc("_n"), "_k", "_p")
     schema = ready.select("_k", "_p", "_n", "_shard", F.lit(0).cast("long").alias("box"), F.lit(0).alias("capacity"), F.lit(0).alias("offset")).schema
     placed = ready.mapInArrow(partial(_pack_shards, lengths=lengths, overhead=overhead), schema)
@@ -74,21 +81,33 @@ def _pack_shards(batches: Iterator[pa.RecordBatch], lengths: Sequence[int], over
 def best_fit(sizes: Sequence[int], lengths: Sequence[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
     """Container, its final capacity and the offset in it for each of the sizes, which must be in descending order.
 
-    Packed once with all lengths to open and once with the largest alone; the cheaper is taken, the first of equals.
+    Packed once for each choice of lengths to open; the cheapest packing is taken, the first of equals.
     """
-    tries = [_fill(sizes, opened, lengths, overhead) for opened in (lengths, lengths[-1:])]
+    tries = (_fill(sizes, opened, lengths, overhead) for opened in choices(lengths))
     return min(tries, key=lambda t: t[0])[1]
 
 
+def choices(lengths: Sequence[int]) -> list[tuple[int, ...]]:
+    """All lengths, then every other choice of them, fewest first, as long as there are at most ``MOST_CHOICES``: else single ones."""
+    some = [c for k in range(1, len(lengths)) for c in combinations(lengths, k) if k == 1 or 2 ** len(lengths) <= MOST_CHOICES]
+    return [tuple(lengths), *some]
+
+
 def _fill(sizes: Sequence[int], opened: Sequence[int], lengths: Sequence[int], overhead: int) -> tuple[int, tuple[list[int], list[int], list[int]]]:
-    """Cost and packing when containers are opened at the lengths ``opened`` and end at any of ``lengths``."""
-    left = sum(sizes)
+    """Cost and packing when containers are opened at the lengths ``opened`` and end at any of ``lengths``.
+
+    A piece longer than all of ``opened`` gets the shortest length that holds it.
+    """
+    counts = [0] * (lengths[-1] + 1)  # pieces still to come by size
+    for n in sizes:
+        counts[n] += 1
+    present = sum(1 << n for n, c in enumerate(counts) if c and n)
     rooms: dict[int, list[int]] = {}  # by room left: open containers
     some = 0  # bit r is set where rooms[r] isn't empty
     used: list[int] = []
     box: list[int] = []
     offset: list[int] = []
-    for k, n in enumerate(sizes):
+    for n in sizes:
         fits = some >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -96,12 +115,15 @@ def _fill(sizes: Sequence[int], opened: Sequence[int], lengths: Sequence[int], o
             if not rooms[room]:
                 some &= ~(1 << room)
         else:
-            b, room = len(used), _least_cost(sizes, k, left, opened, overhead)
+            options = [x for x in opened if x >= n] or [next(x for x in lengths if x >= n)]
+            b, room = len(used), options[0] if len(options) == 1 else _least_cost(n, counts, present, options, lengths, overhead)
             used.append(0)
         box.append(b)
         offset.append(used[b])
         used[b] += n
-        left -= n
+        counts[n] -= 1
+        if not counts[n]:
+            present &= ~(1 << n)
         room -= n
         rooms.setdefault(room, []).append(b)
         some |= 1 << room
@@ -109,22 +131,20 @@ def _fill(sizes: Sequence[int], opened: Sequence[int], lengths: Sequence[int], o
     return sum(final) + overhead * len(final), (box, [final[b] for b in box], offset)
 
 
-def _least_cost(sizes: Sequence[int], k: int, left: int, lengths: Sequence[int], overhead: int) -> int:
-    """The length of a new container for item k that costs least per token put in.
-
-    While there is plenty left any length gets filled. Near the end each length is tried with what is left.
-    """
-    options = [x for x in lengths if x >= sizes[k]]
-    if left > 2 * lengths[-1]:
-        return min(options, key=lambda x: (x + overhead) / x)
+def _least_cost(n: int, counts: Sequence[int], present: int, options: Sequence[int], lengths: Sequence[int], overhead: int) -> int:
+    """The length of a new container for a piece of size n that costs least per token the pieces to come put in, largest first."""
     costs = []
     for x in options:
-        filled = 0
-        for n in sizes[k:]:
-            if not n or filled == x:
+        filled, room, left = n, x - n, present
+        while room:
+            left &= (1 << (room + 1)) - 1
+            if not left:
                 break
-            if filled + n <= x:
-                filled += n
+            size = left.bit_length() - 1
+            left &= ~(1 << size)
+            take = min(counts[size] - (size == n), room // size)
+            filled += take * size
+            room -= take * size
         final = next(y for y in lengths if y >= filled)
         costs.append(((final + overhead) / max(1, filled), x))
     return min(costs)[1]

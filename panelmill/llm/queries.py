@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.llm.mixing import mix
-from panelmill.llm.packing import pack
+from panelmill.llm.packing import SHARD_ITEMS, pack
 from panelmill.llm.percentiles import percentiles, value_runs
 from panelmill.llm.skeleton import look_alike_pairs, look_classes
 from panelmill.llm.tokens import BLANK, WORD, token_count
@@ -78,6 +78,30 @@ def p8_fill(spark: SparkSession, path: str) -> DataFrame:
     return boxes.groupBy("capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("capacity").alias("room"))
 
 
+def p8_audit(spark: SparkSession, path: str) -> DataFrame:
+    """Each document's pieces and tokens as they were placed, and whether its pieces follow one another, each a container's length but the last."""
+    placed = pack(_sized(spark, path), "doc_id", F.col("tokens"))
+    last = F.max("piece")
+    whole = (F.count(F.lit(1)) == last + 1) & (F.count_distinct("piece") == last + 1) & (F.min("piece") == 0)
+    cut = F.bool_and((F.col("first") == F.col("piece") * 2048) & (F.col("offset") + F.col("size") <= F.col("capacity")))
+    return placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens"), (whole & cut).alias("in_order"))
+
+
+def p8_totals(spark: SparkSession, path: str) -> DataFrame:
+    """What all containers hold: no two pieces overlap, none is over its capacity, and their number is near the least possible."""
+    placed = pack(_sized(spark, path), "doc_id", F.col("tokens"))
+    boxes = placed.groupBy("container").agg(
+        F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("offset") + F.col("size")).alias("end"), F.max("capacity").alias("capacity")
+    )
+    got = boxes.agg(
+        F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"),
+        F.count_if(F.col("end") != F.col("tokens")).alias("with_gaps"), F.count(F.lit(1)).alias("n"),
+    )
+    shards = F.ceil(F.col("pieces") / SHARD_ITEMS)
+    near = F.col("n") <= F.ceil(F.col("tokens") / 2048) * 1.02 + 4 * shards
+    return got.select("pieces", "tokens", "overfull", "with_gaps", near.alias("near_least"))
+
+
 def p9_found(spark: SparkSession, path: str) -> DataFrame:
     report = mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"))[1]
     return report.filter("short").select("source")
@@ -110,7 +134,7 @@ def p10_classes(spark: SparkSession, path: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_percentiles, p1_combined, p2_found, p2_top_ten, p8_found, p8_containers, p8_fill,
+        p1_found, p1_percentiles, p1_combined, p2_found, p2_top_ten, p8_found, p8_containers, p8_fill, p8_audit, p8_totals,
         p9_found, p9_shares, p9_exact_shares, p9_selection, p10_found, p10_classes,
     )
 }
@@ -136,6 +160,9 @@ from v group by 1, 2""",
     "p2_found": f"with {_CAPS} select strftime(date, '%Y%m%d')::bigint as date_key, entity from r where rank <= 5",
     "p2_top_ten": f"with {_CAPS} select date, rank::int as rank, entity, round(marketcap, 2) as marketcap from r where rank <= 10",
     "p8_found": f"select doc_id from documents where {_TOKENS} > 2048",
+    "p8_audit": f"""select doc_id, greatest(1, ceil(n / 2048.0))::bigint as pieces, n as tokens, true as in_order from (select doc_id, {_TOKENS} as n from documents)""",
+    "p8_totals": f"""select sum(greatest(1, ceil(n / 2048.0)))::bigint as pieces, sum(n)::bigint as tokens, 0 as overfull, 0 as with_gaps, true as near_least
+from (select doc_id, {_TOKENS} as n from documents)""",
     "p9_found": f"""with d as (select source, {_TOKENS} as n from documents), a as (select sum(n) as whole from d),
 s as (select source, sum(n) as own from d group by 1)
 select m.source from mix_targets m cross join a left join s using (source) where m.max_repeats * coalesce(own, 0) < m.weight * whole""",
