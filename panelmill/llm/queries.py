@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 from panelmill.llm.mixing import mix
 from panelmill.llm.packing import SHARD_ITEMS, pack
 from panelmill.llm.percentiles import percentiles, value_runs
-from panelmill.llm.skeleton import look_alike_pairs, look_classes
+from panelmill.llm.skeleton import look_links, skeleton_of
 from panelmill.llm.tokens import BLANK, WORD, token_count
 from panelmill.llm.topn import top_n
 from panelmill.operators.versions import latest_version
-from panelmill.session import table
+from panelmill.session import pinned, table
 
 MEASURES = ["marketcap", "rvol_30d", "ret"]
 
@@ -121,14 +122,23 @@ def p9_selection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, path: str) -> DataFrame:
-    pairs = look_alike_pairs(table(spark, path, "documents"), "doc_id", "text")
-    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+    """The classes of texts that look the same, spread into pairs of documents whose texts differ.
+
+    The operator gives classes; only those with links are spread here, form by form, so copies aren't paired with each other.
+    """
+    rows = pinned(look_links(table(spark, path, "documents"), "doc_id", "text").filter("links > 0").select("doc_id", "look", "form"))
+    forms = rows.select("look", "form").distinct()
+    pairs = forms.alias("l").join(forms.alias("r"), (F.col("l.look") == F.col("r.look")) & (F.col("l.form") < F.col("r.form")))
+    pairs = pairs.select(F.col("l.look").alias("look"), F.col("l.form").alias("f"), F.col("r.form").alias("g"))
+    left = rows.select("look", F.col("form").alias("f"), F.col("doc_id").alias("x"))
+    right = rows.select("look", F.col("form").alias("g"), F.col("doc_id").alias("y"))
+    both = pairs.join(left, ["look", "f"]).join(right, ["look", "g"])
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 def p10_classes(spark: SparkSession, path: str) -> DataFrame:
-    """Each document with the digest of its one form."""
-    seen = look_classes(table(spark, path, "documents"), "doc_id", "text")
-    return seen.select("doc_id", F.lower(F.hex("look")).alias("look"), (F.col("look") == F.col("form")).alias("plain"))
+    """Each document with its class of texts that look the same, and how many of these differ from it in characters."""
+    return look_links(table(spark, path, "documents"), "doc_id", "text").select("doc_id", "class_id", "members", "copies", "links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -147,7 +157,34 @@ _CAPS = """f as (select date, entity, arg_max(coalesce(marketcap, 'nan'::double)
 r as (select *, row_number() over (partition by date order by marketcap desc, entity) as rank from f where not isnan(marketcap))"""
 _TOKENS = f"coalesce(len(regexp_extract_all(text, '[{WORD}]+|[^{WORD}{BLANK}]+')), 0)"
 
+
+
+def _plain_sql() -> str:
+    """The one form of a text in SQL: composed, each character that the table and the rules replace translated, composed again.
+
+    Made from what single characters become, so it is a check on how the operator treats texts, not on the table.
+    """
+    moved = {}
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x10000), *range(0xE0000, 0xE0200), 0x1D173, *range(0x1D174, 0x1D17B), *range(0x1BCA0, 0x1BCA4), *range(0x110BD, 0x110CE)]:
+        to = unicodedata.normalize("NFC", skeleton_of(chr(cp)))
+        if to != unicodedata.normalize("NFC", chr(cp)):
+            moved[chr(cp)] = to
+    one = {c: to for c, to in moved.items() if len(to) == 1}
+    gone = [c for c, to in moved.items() if not to]
+    text = "nfc_normalize(text)"
+    for c, to in moved.items():
+        if len(to) > 1:
+            text = f"replace({text}, '{c}', '{to}')"
+    quoted = lambda t: t.replace("'", "''")
+    return f"nfc_normalize(translate({text}, '{quoted(''.join([*one, *gone]))}', '{quoted(''.join(one.values()))}'))"
+
+
+_LOOKS = f"""d as (select doc_id, text, {_plain_sql()} as look from documents where text is not null),
+c as (select *, min(doc_id) over (partition by look) as class_id, count(*) over (partition by look) as members, count(*) over (partition by look, text) as copies from d)"""
+
 ORACLES: dict[str, str] = {
+    "p10_classes": f"with {_LOOKS} select doc_id, class_id, members, copies, members - copies as links from c",
+    "p10_found": f"with {_LOOKS} select a.doc_id as doc_a, b.doc_id as doc_b from c a join c b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id",
     "p1_found": f"""with {_LONG}, q as (select month_key, measure, quantile_cont(v, 0.05) as p05, quantile_cont(v, 0.25) as p25,
   quantile_cont(v, 0.5) as p50 from v group by 1, 2)
 select month_key, measure from q where (measure = 'marketcap' and p25 >= 1.5e8) or (measure = 'rvol_30d' and p50 >= 0.06)

@@ -12,21 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelmill.session import pinned
+from panelmill.session import attach, pinned
 
-# Letters of Cyrillic and Greek and the letter of the same shape they are replaced by.
+# Single letters of Latin, Greek and Cyrillic and the letter of the same shape and case they are replaced by, after
+# the public list of confusable characters.
 LOOK_ALIKES = {
     # Cyrillic, small
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
+    "ӕ": "æ", "ә": "ə", "ө": "ɵ", "ѳ": "ɵ", "ӡ": "ʒ", "ԑ": "ɛ", "ԍ": "ɢ",
     # Cyrillic, capital
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ԛ": "Q", "Ԝ": "W",
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ү": "Y", "Ԛ": "Q",
+    "Ԝ": "W", "Ѵ": "V", "Ԍ": "G", "Ӕ": "Æ", "Ә": "Ə", "Ө": "Ɵ", "Ѳ": "Ɵ", "Ӡ": "Ʒ", "Ԑ": "Ɛ",
     # Greek, small
-    "ο": "o", "ϲ": "c", "ϳ": "j",
+    "ο": "o", "ϲ": "c", "ϳ": "j", "ν": "v", "ρ": "p", "α": "ɑ", "ε": "ɛ", "ι": "ɩ", "υ": "ʋ", "ͻ": "ɔ",
     # Greek, capital
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    # Greek and Cyrillic without a Latin letter of that shape
-    "Γ": "Г", "Π": "П", "Φ": "Ф",
+    "Α": "A", "Β": "B", "Ε": "E", "Ϝ": "F", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ϻ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C",
+    "Ϳ": "J", "Θ": "Ɵ", "ϴ": "Ɵ", "Ͻ": "Ɔ",
+    # Latin letters of the shape of another one
+    "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ɡ": "g", "ǝ": "ə", "ᴐ": "ɔ", "Ð": "Đ", "Ɖ": "Đ", "Ꭓ": "X", "µ": "μ",
+    # Latin letters of the shape of a Greek or Cyrillic one
+    "ʙ": "в", "ʜ": "н", "ᴍ": "м", "ᴛ": "т", "ᴦ": "г", "ᴨ": "п", "ᴎ": "и", "ᴙ": "я", "ᴫ": "л", "Ʌ": "Λ", "Ʃ": "Σ", "ꞵ": "β", "ꭓ": "χ", "ɸ": "φ", "ꞷ": "ω",
+    # Greek, Cyrillic and Latin without a plain letter of that shape
+    "Γ": "Г", "Π": "П", "Φ": "Ф", "Ͷ": "И", "ͷ": "и", "Ѱ": "Ψ", "ѱ": "ψ", "κ": "к", "ĸ": "к", "ᴋ": "к", "ᴩ": "ᴘ",
 }
+# Left out on purpose, as readers can tell them apart in common fonts: α and a, υ and u, ι and i, γ, ү and y, η and n, ω and w, τ and т, β and ß,
+# г and r, п and n, и and u; letters that differ in size or case (Ь and b, Һ and h, ӏ and l, I and l) or have a hook or stroke more
+# (Ҫ and Ç, ґ and г); and, by the rule that digits make a difference, З and 3, О and 0, б and 6.
 
 # Characters that show nothing although they are not of the class of format characters (inclusive ranges).
 INVISIBLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF)]
@@ -97,21 +108,19 @@ def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     return seen.select(key, F.unhex(F.sha2(skeleton(F.col(text)), 256)).alias("look"), F.unhex(F.sha2(F.col(text), 256)).alias("form"))
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (a, b), a < b, of rows whose texts look the same and are not equal.
+def look_links(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, look, form, class_id, members, copies, links) for each row that has a text.
 
-    Exact copies are brought together first and the differing forms of a skeleton are paired as forms; only these pairs are
-    then spread over the forms' rows, so no group of copies is ever paired within itself, and a skeleton with one form,
-    however many copies it has, costs nothing. Rows without a text are in no pair.
+    ``class_id`` is the least key of the rows that look like this one, ``members`` their number, ``copies`` how many of them have
+    this very text, and ``links`` how many differ from it in characters: 0 for most rows.
+
+    Forms are counted with map-side combine and only classes of more than one row are joined back, by broadcast if they are
+    few, so neither a text that a third of all rows have nor a large class is ever collected or paired.
     """
     rows = pinned(look_classes(df, key, text))
-    forms = rows.groupBy("look", "form").agg(F.count(F.lit(1)).alias("copies"))
-    mixed = forms.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).filter("_lo <> _hi").select("look")
-    mixed = pinned(rows.join(mixed, "look", "left_semi"))
-    kinds = mixed.select("look", "form").distinct()
-    pairs = kinds.alias("l").join(kinds.alias("r"), (F.col("l.look") == F.col("r.look")) & (F.col("l.form") < F.col("r.form")))
-    pairs = pairs.select(F.col("l.look").alias("look"), F.col("l.form").alias("f"), F.col("r.form").alias("g"))
-    left = mixed.select("look", F.col("form").alias("f"), F.col(key).alias("_x"))
-    right = mixed.select("look", F.col("form").alias("g"), F.col(key).alias("_y"))
-    both = pairs.join(left, ["look", "f"]).join(right, ["look", "g"])
-    return both.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+    forms = rows.groupBy("look", "form").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("_first"))
+    classes = forms.groupBy("look").agg(F.sum("copies").alias("members"), F.min("_first").alias("_first")).filter("members > 1")
+    several = forms.drop("_first").join(classes, "look")
+    out = attach(rows, several, ["look", "form"])
+    members, copies = (F.coalesce(c, F.lit(1)) for c in ("members", "copies"))
+    return out.select(key, "look", "form", F.coalesce("_first", key).alias("class_id"), members.alias("members"), copies.alias("copies"), (members - copies).alias("links"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from panelmill.llm.mixing import mix, water_fill
 from panelmill.llm.packing import best_fit, pack
 from panelmill.llm.percentiles import percentiles, value_runs
-from panelmill.llm.skeleton import look_alike_pairs, look_classes, skeleton, skeleton_of
+from panelmill.llm import queries
+from panelmill.llm.skeleton import LOOK_ALIKES, look_classes, look_links, skeleton, skeleton_of
 from panelmill.llm.tokens import token_count
 from panelmill.llm.topn import top_n
 
@@ -256,6 +257,20 @@ def test_skeletons():
         assert skeleton_of(skeleton_of(t)) == skeleton_of(t)
 
 
+def test_look_alike_letters():
+    """Every entry in both directions, alone, in a word and under an accent; no entry joins cases or two plain letters."""
+    for letter, like in LOOK_ALIKES.items():
+        assert len(letter) == len(like) == 1 and like not in LOOK_ALIKES
+        for around in ("{}", "x{}y", "\u4e2d{}\u0301", "{0}{0}"):
+            assert skeleton_of(around.format(letter)) == skeleton_of(around.format(like)) != around.format(letter)
+        assert letter.islower() == like.islower() and letter.isupper() == like.isupper()
+    plain = [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", *"абвгдежзийклмнопрстуфхцчшщъыьэюя", *"αβγδεζηθικλμνξοπρστυφχψω"]
+    own = defaultdict(set)
+    for c in plain:
+        own[skeleton_of(c)].add(c)
+    assert {frozenset(v) for v in own.values() if len(v) > 1} == {frozenset(v) for v in ("aа", "eе", "oоο", "pрρ", "cс", "yу", "xх", "vν", "кκ")}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text())
 def test_skeleton_is_stable(text):
@@ -263,7 +278,7 @@ def test_skeleton_is_stable(text):
     assert skeleton_of(once) == once
 
 
-def test_look_alikes_against_brute_force(spark):
+def test_look_alikes_against_brute_force(spark, tmp_path):
     rng = random.Random(5)
     swap = {"a": "aаａ", "o": "oοо", " ": "   ", "e": "eе", "é": ["é", "é"]}
     words = ["a one", "no é", "plain", "eé o", "", "А"]
@@ -275,10 +290,17 @@ def test_look_alikes_against_brute_force(spark):
     rows.append((300, "y" * 200_000 + "а", "x"))
     rows.append((301, "y" * 200_000 + "a", "x"))
     df = spark.createDataFrame(rows, "doc_id long, text string, look string")
-    got = [(r.a, r.b) for r in look_alike_pairs(df, "doc_id", "text").collect()]
-    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and b[1] is not None and a[1] != b[1] and skeleton_of(a[1]) == skeleton_of(b[1])}
+    alike = lambda a, b: None not in (a[1], b[1]) and skeleton_of(a[1]) == skeleton_of(b[1])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_a, r.doc_b) for r in queries.p10_found(spark, str(tmp_path)).collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and alike(a, b)}
     assert set(got) == want and len(got) == len(want) and (300, 301) in want
+    links = {r.doc_id: (r.class_id, r.members, r.copies, r.links) for r in look_links(df, "doc_id", "text").collect()}
+    for a in rows:
+        own = [b for b in rows if alike(a, b)]
+        same = sum(b[1] == a[1] for b in own)
+        assert a[1] is None and a[0] not in links or links[a[0]] == (min(b[0] for b in own), len(own), same, len(own) - same)
     assert look_classes(df, "doc_id", "text").count() == sum(r[1] is not None for r in rows)
-    assert look_alike_pairs(df.limit(0), "doc_id", "text").count() == 0
+    assert look_links(df.limit(0), "doc_id", "text").count() == 0
     forms = {r.text: r.s for r in df.select("text", skeleton(F.col("text")).alias("s")).collect()}
     assert all(s == (None if t is None else skeleton_of(t)) for t, s in forms.items())
