@@ -55,7 +55,8 @@ def mix(df: DataFrame, key: str, source: str, size: Column, targets: DataFrame,
 
     Rows whose source is null or not in ``targets`` aren't selected but count in the default total. Weights that are null or
     below 0 count as 0 and max_repeats that are null as 0; weights are scaled to a sum of 1. Several rows of a source in
-    ``targets`` raise. Items of size 0 or null get the copies of their source but weigh nothing.
+    ``targets`` raise, and so do more than ``MOST_SOURCES`` sources: targets are what a person states, and 10,000 rows of them are
+    less than a megabyte on the driver; the sources of ``df`` may be any number. Items of size 0 or null get the copies of their source but weigh nothing.
     """
     if not within(targets, MOST_SOURCES):
         raise ValueError(f"more than {MOST_SOURCES} sources")

@@ -108,13 +108,35 @@ def p9_found(spark: SparkSession, path: str) -> DataFrame:
     return report.filter("short").select("source")
 
 
+def _report(spark: SparkSession, path: str, places: int, **more) -> DataFrame:
+    report = mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"), **more)[1]
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    return report.select("source", r("weight", 6), "max_repeats", "available", r("wanted", 3), r("target", 3), r("share", places), "short")
+
+
 def p9_shares(spark: SparkSession, path: str) -> DataFrame:
-    return mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"))[1]
+    """Wanted and target amounts of each source, and the shares reached, to a thousandth."""
+    return _report(spark, path, 3)
 
 
 def p9_exact_shares(spark: SparkSession, path: str) -> DataFrame:
-    """The shares of the largest mix in which every source has its weight."""
-    return mix(_sized(spark, path), "doc_id", "source", F.col("tokens"), table(spark, path, "mix_targets"), keep_weights=True)[1]
+    """The same of the largest mix in which every source has its weight; shares to a hundredth, as that mix is much smaller."""
+    return _report(spark, path, 2, keep_weights=True)
+
+
+def p9_copies(spark: SparkSession, path: str) -> DataFrame:
+    """Of each source how often its documents are used at least and at most, whether any is used more than it may or listed twice,
+    and whether the amount reached is within the largest document of the target."""
+    sized, targets = _sized(spark, path), table(spark, path, "mix_targets")
+    selection, report = mix(sized, "doc_id", "source", F.col("tokens"), targets)
+    used = sized.filter("tokens > 0").join(selection.select("doc_id", "copies"), "doc_id", "left").groupBy("source").agg(
+        F.min(F.coalesce("copies", F.lit(0))).cast("int").alias("least"), F.max(F.coalesce("copies", F.lit(0))).cast("int").alias("most"),
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("documents"), F.max("tokens").alias("largest"),
+    )
+    rows = report.join(used, "source")
+    over, listed = F.col("most") > F.col("max_repeats"), F.col("n") > F.col("documents")
+    near = F.abs(F.col("reached") - F.col("target")) <= F.col("largest")
+    return rows.select("source", "least", "most", over.alias("over"), listed.alias("listed_twice"), near.alias("near"))
 
 
 def p9_selection(spark: SparkSession, path: str) -> DataFrame:
@@ -145,7 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_percentiles, p1_combined, p2_found, p2_top_ten, p8_found, p8_containers, p8_fill, p8_audit, p8_totals,
-        p9_found, p9_shares, p9_exact_shares, p9_selection, p10_found, p10_classes,
+        p9_found, p9_shares, p9_exact_shares, p9_copies, p9_selection, p10_found, p10_classes,
     )
 }
 
@@ -182,7 +204,26 @@ def _plain_sql() -> str:
 _LOOKS = f"""d as (select doc_id, text, {_plain_sql()} as look from documents where text is not null),
 c as (select *, min(doc_id) over (partition by look) as class_id, count(*) over (partition by look) as members, count(*) over (partition by look, text) as copies from d)"""
 
+# Water filling in closed form: sources in order of cap by weight; the first k give all they can, the others share the rest by weight.
+def _fill(total: str) -> str:
+    return f"""d as (select source, {_TOKENS} as n from documents), a as (select sum(n) as whole from d), s as (select source, sum(n) as own from d group by 1),
+m0 as (select m.source, weight / sum(weight) over () as weight, max_repeats, coalesce(own, 0)::bigint as available, max_repeats * coalesce(own, 0) as cap,
+  whole from mix_targets m cross join a left join s using (source)),
+m1 as (select *, weight * whole as wanted, cap < weight * whole as short, {total} as total from m0),
+m2 as (select *, row_number() over (order by cap / weight, source) as k, coalesce(sum(cap) over before, 0) as full_cap, sum(weight) over after as rest from m1
+  window before as (order by cap / weight, source rows between unbounded preceding and 1 preceding), after as (order by cap / weight, source rows between current row and unbounded following)),
+l as (select min(k) as k from m2 where (total - full_cap) / rest <= cap / weight), v as (select (total - full_cap) / rest as level, m2.k from m2 join l on m2.k = l.k),
+t as (select m2.*, case when m2.k >= v.k then level * weight else cap end as target from m2 left join v on true)"""
+
+
+_SHARES = """select source, round(weight, 6) + 0.0 as weight, max_repeats, available, round(wanted, 3) + 0.0 as wanted, round(target, 3) + 0.0 as target,
+  round(target / sum(target) over (), 3) + 0.0 as share, short from t"""
+
 ORACLES: dict[str, str] = {
+    "p9_shares": f"with {_fill('whole')} {_SHARES}",
+    "p9_exact_shares": f"with {_fill('min(least(whole, cap / weight)) over ()')} {_SHARES.replace('over (), 3)', 'over (), 2)')}",
+    "p9_copies": f"""with {_fill('whole')} select source, floor(least(target / available, max_repeats))::int as least, ceil(target / available)::int as most,
+  false as over, false as listed_twice, true as near from t""",
     "p10_classes": f"with {_LOOKS} select doc_id, class_id, members, copies, members - copies as links from c",
     "p10_found": f"with {_LOOKS} select a.doc_id as doc_a, b.doc_id as doc_b from c a join c b on a.look = b.look and a.text <> b.text and a.doc_id < b.doc_id",
     "p1_found": f"""with {_LONG}, q as (select month_key, measure, quantile_cont(v, 0.05) as p05, quantile_cont(v, 0.25) as p25,
