@@ -19,15 +19,17 @@ def rank_scale(df: DataFrame, cols: Sequence[str], by: str = "date", wide: bool
     sorts one date's cross-section at a time and spills beyond its memory, so that is bounded by the number of entities.
     """
     df = df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c)) for c in cols})
+    date = Window.partitionBy(by)
     ranks = {}
     for c in cols:
-        ranked = F.rank().over(Window.partitionBy(by).orderBy(F.col(c).asc_nulls_last()))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(by, c))
-        ranks[f"_r_{c}"] = F.when(F.col(c).isNotNull(), ranked + (ties - 1) / 2)
+        # The first and the last place of equal values; nulls come before all and are taken off. One sort a column serves.
+        along_c = date.orderBy(F.col(c).asc_nulls_first())
+        nulls = F.count(F.lit(1)).over(date) - F.count(c).over(date)
+        ranks[f"_r_{c}"] = F.when(F.col(c).isNotNull(), (F.rank().over(along_c) + F.count(F.lit(1)).over(along_c)) / 2 - nulls)
     df = df.withColumns(ranks)
     scaled = {}
     for c in cols:
-        z = F.try_divide(F.col(f"_r_{c}") - 1, F.max(f"_r_{c}").over(Window.partitionBy(by)) - 1) - 0.5
+        z = F.try_divide(F.col(f"_r_{c}") - 1, F.max(f"_r_{c}").over(date) - 1) - 0.5
         scaled[c] = 2 * z if wide else z
     return df.withColumns(scaled).drop(*ranks)
 

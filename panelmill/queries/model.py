@@ -125,6 +125,19 @@ def _fixed_rows(spark: SparkSession, path: str) -> DataFrame:
     return pinned(moment_rows(estimation_panel(spark, path), "ret_excess", CHARS))
 
 
+_TIMES = "list_transform(m, lambda r: list_inner_product(r, v))"
+
+
+@query(f"""with recursive {_MOM}, xx as (select {_list(_list(f'sum(x[{i + 1}] * x[{j + 1}])' for j in range(len(CHARS))) for i in range(len(CHARS)))} as m from mom),
+it(k, v) as (select 0, {_G0} union all select k + 1, list_transform(u, lambda a: a / sqrt(list_inner_product(u, u))) from (select k, {_TIMES} as u from it, xx where k < 2000)),
+fin as (select list_transform(v, lambda a: a * sign(v[1])) as g from it where k = 2000) {_by_char('g[{i}]', 'gamma', 'fin', 5)}""")
+def start_k1(spark: SparkSession, path: str) -> DataFrame:
+    """The loadings the estimator starts from: the leading singular vector of the portfolios, here with a first entry above 0."""
+    m = collect_moments(estimation_panel(spark, path), "ret_excess", CHARS)
+    g = ipca.kernel.initial(m.x, 1, np.zeros((len(m.dates), 0)))[0][:, 0]
+    return _frame(spark, [(c, float(v * np.sign(g[0]))) for c, v in zip(CHARS, g)], "characteristic string, gamma double").select("characteristic", num("gamma", 5))
+
+
 @query(f"with {_STEP} select date, {qnum('f', 'f')} from f")
 def als_factor_step_k1(spark: SparkSession, path: str) -> DataFrame:
     """The factor of each date for one column of fixed loadings."""
