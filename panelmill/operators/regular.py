@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelmill.operators.versions import latest_version
+from panelmill.session import pinned
 
 EPOCH = "1970-01-01"
 
@@ -28,7 +29,8 @@ def regular_grid(
     Method: time-sharded fill. Readings are reduced to one per period (the last by ``version``), each source is cut into
     shards of ``shard_steps`` periods, each shard is summarised by its first and last reading, a prefix scan over the
     summaries tells each shard the reading before it and the reading after it, and each shard then fills its own periods.
-    A source has one summary per shard that has readings, so the scan is bounded by the calendar, not by the readings.
+    A source has one summary per shard that has readings, so the scan is bounded by the calendar, not by the readings, and
+    the readings themselves take no part in it.
 
     ``fill``: ``last`` carries the last reading forward, ``linear`` interpolates between the neighbours, ``none`` leaves null.
     A reading counts if its value is neither null nor NaN and its date not null; filter stricter rules beforehand. Sources
@@ -44,21 +46,23 @@ def regular_grid(
 
     shard = F.floor(F.col("_t") / shard_steps).cast("long")
     reading = F.struct(F.col("_t").alias("t"), F.col("_v").alias("v"))
-    shards = daily.groupBy("_s", shard.alias("_shard")).agg(F.array_sort(F.collect_list(reading)).alias("own"))
+    shards = pinned(daily.groupBy("_s", shard.alias("_shard")).agg(F.array_sort(F.collect_list(reading)).alias("own")))
+    # The scan sees the shards' first and last readings alone.
+    edges = shards.select("_s", "_shard", F.element_at("own", 1).alias("first"), F.element_at("own", -1).alias("last"))
     along = Window.partitionBy("_s").orderBy("_shard")
-    shards = shards.select(
-        "_s",
-        "_shard",
-        "own",
-        F.lag(F.element_at("own", -1)).over(along).alias("before"),
-        F.lead(F.element_at("own", 1)).over(along).alias("after"),
-        F.lead("_shard").over(along).alias("next"),
+    carried = pinned(
+        edges.select(
+            "_s", "_shard", "last", F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"), F.lead("_shard").over(along).alias("next")
+        )
     )
+    # As many rows as there are shards, so never broadcast.
+    around = carried.select(F.col("_s").alias("_of"), F.col("_shard").alias("_at"), "before", "after")
+    shards = shards.join(around, shards["_s"].eqNullSafe(around["_of"]) & (F.col("_shard") == F.col("_at"))).drop("_of", "_at")
     # Shards without any reading lie between two that have some; both their neighbours are known.
-    empty = shards.filter(F.col("next") > F.col("_shard") + 1).select(
+    empty = carried.filter(F.col("next") > F.col("_shard") + 1).select(
         "_s",
         F.explode(F.sequence(F.col("_shard") + 1, F.col("next") - 1)).alias("_shard"),
-        F.element_at("own", -1).alias("before"),
+        F.col("last").alias("before"),
         F.array().cast("array<struct<t:bigint,v:double>>").alias("own"),
         "after",
     )

@@ -247,3 +247,63 @@ def test_factors_and_cross_sections_of_all_dates(spark, tmp_path):
     spark.createDataFrame([tuple(float(v) if isinstance(v, np.floating) else v for v in (*r[:1], r[1] + dt.timedelta(days=40), *r[2:])) for r in rows], kinds).write.parquet(f"{tmp_path}/later/panel_clean.parquet")
     late = min_cross_section_history(spark, f"{tmp_path}/later").select("date").distinct().collect()
     assert sorted(r.date for r in late) == [d + dt.timedelta(days=40) for d in days if d + dt.timedelta(days=40) >= floor]
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from panelmill.session import attach, byte_size
+
+    small = spark.createDataFrame([(None, "x" * 100, [1.0, 2.0]), (1, "é", None)], "k int, t string, a array<double>")
+    assert byte_size(small) == 2 * (16 + 8) + 100 + 2 + len("[1.0,2.0]") and byte_size(small.limit(0)) == 0
+    big = spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "k int, n int")
+    rows = lambda most: sorted((r.n, len(r.t or "")) for r in attach(big, small, ["k"], most=most).collect())
+    assert rows(1 << 20) == rows(0) == [(1, 100), (2, 1), (3, 0)]
+    plan = lambda most: attach(big, small, ["k"], most=most)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(1 << 20) and "SortMergeJoin" in plan(0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from panelmill.session import ensure_checkpoint_dir
+
+    class Context:
+        master, at = "spark://somewhere:7077", None
+
+        def getCheckpointDir(self):
+            return self.at
+
+        def setCheckpointDir(self, at):
+            self.at = at
+
+    class Session:
+        def __init__(self, folder):
+            self.sparkContext = Context()
+            self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session(None))
+    shared = Session("hdfs:///shared")
+    ensure_checkpoint_dir(shared)
+    assert shared.sparkContext.at == "hdfs:///shared"
+
+
+def test_p_values_of_correlations(spark):
+    from panelmill.operators.cross_section import correlation_p
+
+    rows = [(0.0, 100), (0.2, 100), (-0.3, 402), (1.0, 10), (None, 10), (0.5, 2)]
+    got = [r.p for r in spark.createDataFrame(rows, "r double, n long").select(correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    for (r, n), p in zip(rows[:3], got):
+        assert abs(p - math.erfc(abs(r) * math.sqrt((n - 2) / (1 - r * r)) / math.sqrt(2))) < 3e-4
+    assert got[3:] == [0.0, None, None]
+
+
+def test_weeks(spark):
+    from panelmill.plans.pipeline import load_panel, weekly
+
+    rows = [("a", dt.date(2024, 1, d), float(d)) for d in (1, 3, 7, 8, 20)] + [(None, dt.date(2024, 1, 2), None), ("b", None, 1.0)]
+    got = weekly(spark.createDataFrame(rows, "entity string, date date, x double")).collect()
+    assert sorted(((r.entity, r.date, r.x) for r in got), key=str) == sorted(
+        [("a", dt.date(2024, 1, 1), 7.0), ("a", dt.date(2024, 1, 8), 8.0), ("a", dt.date(2024, 1, 15), 20.0), (None, dt.date(2024, 1, 1), None), ("b", None, 1.0)], key=str
+    )
+    df = spark.createDataFrame([("a", dt.date(2024, 1, 1 + 3 * i), 0.1 * i, 1.0 * i) for i in range(8)], "entity string, date date, ret_excess double, x double")
+    assert load_panel(df, freq="weekly").count() == 3 and load_panel(df).count() == 7
+    with pytest.raises(ValueError):
+        load_panel(df, freq="hourly")
