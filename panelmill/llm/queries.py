@@ -239,7 +239,7 @@ from v group by 1, 2""",
     "p2_top_ten": f"with {_CAPS} select date, rank::int as rank, entity, round(marketcap, 2) as marketcap from r where rank <= 10",
     "p8_found": f"select doc_id from documents where {_TOKENS} > 2048",
     "p8_audit": f"""select doc_id, greatest(1, ceil(n / 2048.0))::bigint as pieces, n as tokens, true as in_order from (select doc_id, {_TOKENS} as n from documents)""",
-    "p8_totals": f"""select sum(greatest(1, ceil(n / 2048.0)))::bigint as pieces, sum(n)::bigint as tokens, 0 as overfull, 0 as with_gaps, true as near_least
+    "p8_totals": f"""select sum(greatest(1, ceil(n / 2048.0)))::bigint as pieces, sum(n)::bigint as tokens, 0::bigint as overfull, 0::bigint as with_gaps, true as near_least
 from (select doc_id, {_TOKENS} as n from documents)""",
     "p9_found": f"""with d as (select source, {_TOKENS} as n from documents), a as (select sum(n) as whole from d),
 s as (select source, sum(n) as own from d group by 1)
