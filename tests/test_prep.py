@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelmill.operators.asof import known_at, known_before
 from panelmill.operators.impute import Numeric, impute
 from panelmill.operators.regular import regular_grid
-from panelmill.operators.spikes import Field, chart, rolling_median, spikes, stuck_runs
+from panelmill.operators.spikes import Field, bands, chart, rolling_median, spikes, stuck_runs
 from panelmill.operators.trailing import binary_parts, trailing_totals
 from panelmill.operators.versions import latest_version
 
@@ -270,6 +270,33 @@ def test_chart_parts():
     assert chart([]) == [] and chart([1.0, 1.0]) == [False, False]
 
 
+def test_no_spike_is_cleared_by_the_chart():
+    """Contamination, random walks, bursts of either sign, changes of level at any place, long runs: what is beyond the limit is
+    suspected or not cleared, and of calm readings nearly all are cleared."""
+    rng = np.random.RandomState(3)
+    cases = calm = cleared_calm = 0
+    for trial in range(120):
+        n = rng.randint(40, 1500)
+        x = rng.normal(0, 1, n) * rng.choice([0.01, 1.0]) + np.cumsum(rng.normal(0, rng.choice([0, 0.02]), n))
+        quiet = trial % 6 == 0
+        if not quiet:
+            hit = rng.rand(n) < rng.uniform(0.01, 0.15)
+            x[hit] += rng.choice([-1, 1], hit.sum()) * rng.uniform(5, 60, hit.sum())
+            begin, length = rng.randint(0, n), rng.randint(1, 40)
+            x[begin : begin + length] += 20.0 * (-1.0) ** np.arange(len(x[begin : begin + length])) if trial % 2 else 20.0
+            x[rng.randint(0, n) :] += rng.choice([0, 8])
+        centre, band = map(np.array, bands(x.tolist()))
+        for level in (rolling_median(x, 15), np.full(n, np.median(x))):
+            away = np.abs(x - level)
+            limit = 8 * np.median(away)
+            cleared = (np.abs(x - centre) <= band) & (np.abs(centre - level) + band <= limit)
+            assert not (cleared & (away > limit)).any()
+            cases += (away > limit).sum()
+            if quiet and level[0] != level[-1]:
+                calm, cleared_calm = calm + n, cleared_calm + cleared.sum()
+    assert cases > 5000 and cleared_calm > 0.8 * calm
+
+
 TABLE = "id long, entity string, date date, volume double, sector string, cap double, volume_filled string, _y_volume string"
 
 
