@@ -11,7 +11,8 @@ from panelmill.queries import registry
 
 ROOT = Path(__file__).resolve().parent.parent
 SMALL = "/root/testdata/sf0.001"
-SAMPLE = ["p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "market_excess", "capm_alpha_beta", "rank_scale", "momentum_factor", "second_moments_w", "clean_pipeline", "history_json"]
+SAMPLE = ["p3_found", "p4_found", "p5_found", "p6_found", "p7_found", "market_excess", "capm_alpha_beta", "rank_scale", "momentum_factor", "second_moments_w", "clean_pipeline", "history_json",
+          "p5_masks", "edge_spread", "weekly_pipeline", "partitioned_table", "latex_table", "als_rounds_k1", "asset_r2_fixed_gamma", "oos_betas", "correlation_matrix"]
 
 
 def test_nothing_else_imports_the_llm_subpackage():
