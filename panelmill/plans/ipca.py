@@ -232,7 +232,7 @@ def r2_column(fit: str, bench: Column | float = 0.0) -> Column:
 
 # Bootstrap tests and grids: many small estimates, one Spark task for each few of them.
 
-BLOCK = 20  # draws that are estimated together
+BLOCK = 20  # draws of a job
 REDRAWS = 20  # times a draw whose estimate is singular is drawn again before it counts as failed
 
 
@@ -249,14 +249,23 @@ def _spread(spark: SparkSession, jobs: int, m: Moments, work, schema: str) -> Da
     return spark.range(0, jobs, 1, tasks).mapInPandas(run, schema)
 
 
-def null_draw(m: Moments, fit_factors: np.ndarray, null_gamma: np.ndarray, residuals: np.ndarray, rng: np.random.RandomState) -> np.ndarray:
-    """Moments under the null: the model with ``null_gamma`` plus, per date, a t(5) number times a random date's residual."""
-    t_all = len(m.dates)
+def draw_numbers(t_all: int, rng: np.random.RandomState) -> tuple[np.ndarray, np.ndarray]:
+    """A t(5) number and the number of a date, drawn in turn, for each date."""
     scale, pick = np.empty(t_all), np.empty(t_all, dtype=int)
     for t in range(t_all):
         scale[t] = rng.standard_t(5)
         pick[t] = rng.randint(0, high=t_all)
-    return np.einsum("tlm,mk,tk->tl", m.w, null_gamma, fit_factors) + scale[:, None] * residuals[pick]
+    return scale, pick
+
+
+def null_moments(m: Moments, fit_factors: np.ndarray, null_gamma: np.ndarray) -> np.ndarray:
+    return np.einsum("tlm,tm->tl", m.w, fit_factors @ null_gamma.T)
+
+
+def null_draw(m: Moments, fit_factors: np.ndarray, null_gamma: np.ndarray, residuals: np.ndarray, rng: np.random.RandomState) -> np.ndarray:
+    """Moments under the null: the model with ``null_gamma`` plus, per date, a t(5) number times a random date's residual."""
+    scale, pick = draw_numbers(len(m.dates), rng)
+    return null_moments(m, fit_factors, null_gamma) + scale[:, None] * residuals[pick]
 
 
 def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[str], draws: int, min_tol: float, max_iters: int, given: np.ndarray) -> DataFrame:
@@ -264,7 +273,7 @@ def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[st
 
     A test is ``row:<l>`` (characteristic number l has no effect) or ``last`` (the last factor has none). Draw number n is seeded
     with n, so the draws don't depend on how they are spread. A draw whose estimate is singular is drawn again, up to ``REDRAWS`` times;
-    then its statistic is null. ``BLOCK`` draws are estimated together.
+    then its statistic is null. A job has ``BLOCK`` draws of all tests, as these share their random numbers, and estimates them together.
     """
     residuals = m.x - fit.x_total
     plain = fit.gamma
@@ -281,29 +290,24 @@ def wild_bootstrap(spark: SparkSession, m: Moments, fit: Fit, tests: Sequence[st
             g[:, -1] = 0
         return g
 
-    blocks = -(-draws // BLOCK)
-
     def work(moments: Moments, job: int) -> list[tuple]:
-        test, begin = tests[job // blocks], job % blocks * BLOCK
-        zero, numbers = null(test), range(begin, min(begin + BLOCK, draws))
-        drawn = lambda rng: null_draw(moments, fit.factors, zero, residuals, rng)
-        try:
-            x = np.array([drawn(np.random.RandomState(draw)) for draw in numbers])
-            found = kernel.estimate_many(x, moments.w, moments.n, fit.k, given, min_tol, max_iters)
-        except np.linalg.LinAlgError:
-            found = []
-            for draw in numbers:
-                rng, e = np.random.RandomState(draw), None
-                for _ in range(1 + REDRAWS):
-                    try:
-                        e = kernel.estimate(drawn(rng), moments.w, moments.n, fit.k, given, min_tol, max_iters)
-                        break
-                    except np.linalg.LinAlgError:
-                        continue
-                found.append(e)
-        return [(test, draw, stat(e.gamma, test) if e else None, stat(plain, test), bool(e and e.tol <= min_tol)) for draw, e in zip(numbers, found)]
-
-    return _spread(spark, len(tests) * blocks, m, work, "test string, draw int, stat double, observed double, converged boolean")
+        numbers = range(job * BLOCK, min((job + 1) * BLOCK, draws))
+        noise = [scale[:, None] * residuals[pick] for scale, pick in (draw_numbers(len(moments.dates), np.random.RandomState(d)) for d in numbers)]
+        cases = [(test, draw) for test in tests for draw in numbers]
+        x = np.array([base + v for base in (null_moments(moments, fit.factors, null(test)) for test in tests) for v in noise])
+        found = kernel.estimate_many(x, moments.w, moments.n, fit.k, given, min_tol, max_iters)
+        for i, (test, draw) in enumerate(cases):
+            rng = np.random.RandomState(draw)
+            for _ in range(1 + REDRAWS):
+                if found[i]:
+                    break
+                try:
+                    found[i] = kernel.estimate(null_draw(moments, fit.factors, null(test), residuals, rng), moments.w, moments.n, fit.k, given, min_tol, max_iters)
+                except np.linalg.LinAlgError:
+                    continue
+        return [(test, draw, stat(e.gamma, test) if e else None, stat(plain, test), bool(e and e.tol <= min_tol)) for (test, draw), e in zip(cases, found)]
+
+    return _spread(spark, -(-draws // BLOCK), m, work, "test string, draw int, stat double, observed double, converged boolean")
 
 
 def p_values(draws: DataFrame) -> DataFrame:

@@ -249,6 +249,42 @@ def test_many_estimates_together_equal_single_ones(model):
             assert got.iters == want.iters and np.allclose(got.gamma, want.gamma, atol=1e-6) and np.allclose(got.factors, want.factors, atol=1e-6)
 
 
+def test_dates_with_fewer_entities_than_factors_take_the_shortest_solution():
+    rng = np.random.RandomState(0)
+    z = [rng.normal(size=(80 if t > 2 else t + 1, 5)) for t in range(60)]
+    n, w = np.array([float(len(v)) for v in z]), np.array([v.T @ v / len(v) for v in z])
+    true = np.linalg.qr(rng.normal(size=(5, 3)))[0] * [1.5, 1, 0.8]
+    x = np.einsum("tlm,mk,tk->tl", w, true, rng.normal(size=(60, 3)) * [3, 2, 1] + 0.3) + rng.normal(0, 0.1, (90, 60, 5))
+    x[7] = np.nan  # no estimate, the others are not held up
+    none = np.zeros((60, 0))
+    for k in (2, 3):
+        g = np.linalg.qr(rng.normal(size=(5, k)))[0]
+        want = [np.linalg.lstsq(g.T @ w[t] @ g, g.T @ x[0, t], rcond=1e-12)[0] for t in range(60)]
+        assert np.allclose(kernel.factor_step(g, x[0], w, none, k), want)
+        found = kernel.estimate_many(x, w, n, k, none, 1e-7, 300)
+        assert [i for i, e in enumerate(found) if e is None] == [7]
+        for got, v in list(zip(found, x))[::6]:
+            want = kernel.estimate(v, w, n, k, none, 1e-7, 300)
+            assert got.tol <= 1e-7 and got.iters == want.iters and np.abs(got.factors).max() < 100
+            assert np.allclose(got.gamma, want.gamma, atol=1e-6) and np.allclose(got.factors, want.factors, atol=1e-6)
+
+
+def test_singular_equations_of_the_loadings_take_the_shortest_solution():
+    """A characteristic that is 0 throughout, and a date whose factor outweighs all others."""
+    rng = np.random.RandomState(1)
+    z = rng.normal(size=(30, 40, 4))
+    z[..., 3] = 0
+    w, n = np.einsum("tij,tik->tjk", z, z) / 40, np.full(30, 40.0)
+    f = rng.normal(size=(30, 1))
+    x = np.einsum("tlm,m,tk->tl", w, [1.0, 0.5, -0.5, 0], f)
+    for got in (kernel.estimate(x, w, n, 1, None, 1e-8, 200), *kernel.estimate_many(np.array([x, 2 * x]), w, n, 1, None, 1e-8, 200)):
+        assert got.tol <= 1e-8 and np.allclose(np.abs(got.gamma[:, 0]), np.array([1, 0.5, 0.5, 0]) / 1.5**0.5)
+    f[4] = 1e10
+    a, b = kernel.normal_equations(f, x, w, n)
+    want = np.linalg.lstsq(a, b, rcond=1e-15)[0]
+    assert np.allclose(kernel.loading_step(f, x, w, n)[:, 0], want) and np.allclose(kernel._loadings(a[None], b[None], np.array([True]))[0], want)
+
+
 def test_bootstrap_tells_which_draws_converged(spark, model):
     m = model[0]
     fit = m.fit(K=1, minTol=1e-6)
@@ -257,6 +293,20 @@ def test_bootstrap_tells_which_draws_converged(spark, model):
     assert (short.draws, short.converged) == (25, 0) and whole.draws == 25 and whole.converged > 0
 
 
+def test_draws_are_those_of_their_seeds_for_every_test(spark, model):
+    m = model[0].moments
+    fit = model[0].fit(K=1, minTol=1e-6)
+    none = np.zeros((60, 0))
+    got = {(r.test, r.draw): r for r in ipca.wild_bootstrap(spark, m, fit, ["row:0", "row:2"], 43, 1e-6, 500, none).collect()}
+    assert len(got) == 86 and {d for _, d in got} == set(range(43))
+    for row, draw in ((0, 0), (0, 21), (2, 42), (2, 3)):
+        null = fit.gamma.copy()
+        null[row] = 0
+        x = ipca.null_draw(m, fit.factors, null, m.x - fit.x_total, np.random.RandomState(draw))
+        want = kernel.estimate(x, m.w, m.n, 1, none, 1e-6, 500)
+        assert np.isclose(got[f"row:{row}", draw].stat, want.gamma[row] @ want.gamma[row], atol=1e-9) and got[f"row:{row}", draw].converged == (want.tol <= 1e-6)
+
+
 def test_registered_bootstraps_draw_a_thousand_times_for_every_characteristic(spark, monkeypatch):
     from panelmill.queries import model as q
 
