@@ -47,17 +47,13 @@ def spikes(df: DataFrame, field: str, source: str, at: str, value: str, key: str
     ``df`` has one row per reading and field. Rows of a (field, source) at the same instant are one reading, of which the
     greatest value counts, and all of them are returned if it is implausible. Impossible readings are set aside before the rest.
 
-    Method: physical limits, run-length counters, and per source a robust exponentially weighted control chart that clips
-    what it suspects before it updates its mean and scale. A reading is a spike if its distance from its level exceeds
-    ``LIMIT`` times the source's median distance; the chart says which readings are held against that. It clears a reading
-    that lies within its band if band and centre are themselves close to the level: by the triangle inequality such a
-    reading's distance is within the limit. So every spike is suspected or not cleared, also in a long run of faulty
-    readings, which the chart comes to take for a new level, and in turbulent times, when its band widens. (The median
-    distance and a source's level come from mergeable quantile summaries, of rank error 1e-4.)
+    Method: physical limits, run-length counters, and the distance of every reading from its level: it is a spike if that exceeds
+    ``LIMIT`` times the source's median distance. No control chart goes before that: the median distance takes all distances, so
+    a chart could spare none of them, and may only clear what is within the limit anyway. (The median distance and a source's
+    level come from mergeable quantile summaries, of rank error 1e-4.)
 
     Readings are numbered along (source, time) in sorted shards and cut into chunks of ``CHUNK`` readings that bring along the
-    ``HALF`` readings before and after them; so a source with a third of all readings is as many tasks as it needs. A chunk's
-    chart starts from the median of its first readings.
+    ``HALF`` readings before and after them; so a source with a third of all readings is as many tasks as it needs.
 
     Null values are no readings. A reading without a time can be impossible but has no place in the order. A null source is a source. An empty table gives an empty result.
     """
@@ -89,18 +85,16 @@ def spikes(df: DataFrame, field: str, source: str, at: str, value: str, key: str
     chunks = placed.withColumn("_c", F.explode(to)).repartition("_f", "_s", "_c").sortWithinPartitions("_f", "_s", "_c", "_i")
     local = [i for i, n in enumerate(names) if fields[n].local]
     kinds = dict(readings.dtypes)
-    schema = f"_f byte, _s {kinds['_s']}, _t {kinds['_t']}, _k {kinds['_k']}, _d double, _reach double, _x double, _centre double, _band double, stuck boolean"
+    schema = f"_f byte, _s {kinds['_s']}, _t {kinds['_t']}, _k {kinds['_k']}, _d double, stuck boolean"
     scanned = pinned(chunks.mapInArrow(partial(_scan_chunks, local=frozenset(local)), schema))
 
     whole = [i for i in range(len(names)) if i not in local]
-    if whole:
-        levels = scanned.filter(F.col("_f").isin(whole)).groupBy("_f", "_s").agg(_median("_x").alias("_level"))
+    if whole:  # their _d is still the value itself
+        levels = scanned.filter(F.col("_f").isin(whole)).groupBy("_f", "_s").agg(_median("_d").alias("_level"))
         scanned = attach(scanned, levels, ["_f", "_s"])
-        far = {"_d": F.abs(F.col("_x") - F.col("_level")), "_reach": F.abs(F.col("_centre") - F.col("_level")) + F.col("_band")}
-        scanned = scanned.withColumns({c: F.coalesce(c, v) for c, v in far.items()})
+        scanned = scanned.withColumn("_d", F.when(F.col("_f").isin(whole), F.abs(F.col("_d") - F.col("_level"))).otherwise(F.col("_d")))
     cases = attach(scanned, scanned.groupBy("_f", "_s").agg(_median("_d").alias("_scale")), ["_f", "_s"])
-    limit = LIMIT * F.col("_scale")
-    kind = F.when(F.col("stuck"), "stuck").when((F.col("_reach") > limit) & (F.col("_d") > limit), "spike")
+    kind = F.when(F.col("stuck"), "stuck").when(F.col("_d") > LIMIT * F.col("_scale"), "spike")
     cases = pinned(cases.select("_f", "_s", "_t", "_k", kind.alias("kind")).filter("kind is not null"))
 
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_f") + 1).alias(field)
@@ -131,36 +125,28 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan_chunks(batches: Iterator[pa.RecordBatch], local: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's own readings: the distance from the level, the value where the level isn't known here, and whether it is stuck."""
     keys = ["_f", "_s", "_c"]
     for table in whole_groups(batches, keys):
         table = table.combine_chunks()
         first = np.append(np.flatnonzero(starts(table, keys)), table.num_rows)
         x = table.column("_x").to_numpy()
         f, c, i = (table.column(k).to_numpy() for k in ("_f", "_c", "_i"))
-        stuck = np.zeros(len(x), dtype=bool)
-        level, centre, band = np.full(len(x), np.nan), np.empty(len(x)), np.empty(len(x))
+        stuck, away = np.zeros(len(x), dtype=bool), x.copy()
         for a, b in zip(first[:-1], first[1:]):
-            own = x[a:b]
-            stuck[a:b] = stuck_runs(own, RUN)
-            centre[a:b], band[a:b] = bands(own.tolist())
+            stuck[a:b] = stuck_runs(x[a:b], RUN)
             if int(f[a]) in local:
-                level[a:b] = rolling_median(own, HALF)
-        band[np.abs(x - centre) > band] = np.inf  # a suspect can lie anywhere
+                away[a:b] = np.abs(x[a:b] - rolling_median(x[a:b], HALF))
         mine = i // CHUNK == c
-        out, x, level, centre, band = table.filter(pa.array(mine)), x[mine], level[mine], centre[mine], band[mine]
-        near = ~np.isnan(level)
-        # Beside the distance from the level, how far from it a reading within the band can be at most; of fields whose
-        # level isn't known here, what both are made of. The time is needed where the key is not there.
+        out = table.filter(pa.array(mine))
         columns = {c: out.column(c) for c in ("_f", "_s", "_k")}
+        # The time is needed where the key is not there.
         columns["_t"] = pc.if_else(pc.is_valid(out.column("_k")), pa.scalar(None, out.schema.field("_t").type), out.column("_t"))
-        for name, v, known in (
-            ("_d", np.abs(x - level), near), ("_reach", np.abs(centre - level) + band, near),
-            ("_x", x, ~near), ("_centre", centre, ~near), ("_band", band, ~near),
-        ):
-            columns[name] = pa.array(v, mask=~known)
-        columns["stuck"] = pa.array(stuck[mine])
-        order = ["_f", "_s", "_t", "_k", "_d", "_reach", "_x", "_centre", "_band", "stuck"]
-        yield from pa.table({c: columns[c] for c in order}).to_batches()
+        columns |= {"_d": pa.array(away[mine]), "stuck": pa.array(stuck[mine])}
+        yield from pa.table({c: columns[c] for c in ("_f", "_s", "_t", "_k", "_d", "stuck")}).to_batches()
+
+
+# A control chart, for series that are judged reading by reading; ``spikes`` sees all readings and doesn't need it.
 
 
 def bands(x: Sequence[float], weight: float = 0.1, scale_weight: float = 0.05, width: float = 2.0, settle: int = 2 * HALF + 1, shift: int = 8) -> tuple[list[float], list[float]]:

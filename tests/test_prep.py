@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,22 @@ def test_chart_parts():
     assert chart([]) == [] and chart([1.0, 1.0]) == [False, False]
 
 
+def test_scan_is_the_exact_rule_and_draws_no_chart(monkeypatch):
+    from panelmill.operators import spikes as module
+
+    def unused(*args, **kwargs):
+        raise AssertionError("a chart has no effect on the result")
+
+    monkeypatch.setattr(module, "bands", unused)
+    x = np.random.RandomState(5).normal(0, 1, 300)
+    x[100:106] = 0.25
+    table = pa.table({"_f": pa.array([0] * 300 + [1] * 300, pa.int8()), "_s": ["a"] * 600, "_t": list(range(300)) * 2, "_k": [*range(599), None], "_x": [*x, *x], "_c": [0] * 600, "_i": list(range(300)) * 2})
+    got = pa.Table.from_batches(module._scan_chunks(iter(table.to_batches()), frozenset([0]))).to_pydict()
+    want = [abs(x[i] - np.median(x[max(0, i - 15) : i + 16])) for i in range(300)]
+    assert list(got) == ["_f", "_s", "_t", "_k", "_d", "stuck"] and np.allclose(got["_d"], [*want, *x])
+    assert [i for i, v in enumerate(got["stuck"]) if v] == [*range(101, 106), *range(401, 406)] and [i for i, t in enumerate(got["_t"]) if t is not None] == [599]
+
+
 def test_no_spike_is_cleared_by_the_chart():
     """Contamination, random walks, bursts of either sign, changes of level at any place, long runs: what is beyond the limit is
     suspected or not cleared, and of calm readings nearly all are cleared."""
